@@ -364,7 +364,7 @@ def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, across:
     """
     spark = docs.sparkSession
     buckets = 4 * parts(spark)
-    texts = docs.select("doc_id", "text").withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
+    texts = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
     anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets), _ddl(ANCHOR))
     found = anchors.groupBy("bucket").applyInArrow(_match, _ddl(FOUND)).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     chosen = texts.select("doc_id", "tag", "text").join(found, "doc_id").select("doc_id", "tag", "at", "text")

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, documents
 from .repeats import Bytes, keep_mask, repeated_windows, windows_to_runs
@@ -128,22 +129,23 @@ def earlier(passages: list[bytes], facts, weight, length: int = WINDOW, shard: i
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def remove_earlier(docs: DataFrame, doc_id="doc_id", text="text", length: int = WINDOW, with_text=False) -> DataFrame:
+def remove_earlier(docs: DataFrame, doc_id="doc_id", text="text", length: int = WINDOW, with_text=False, carry=()) -> DataFrame:
     """Every byte covered by a string of `length` bytes that also starts in a document of a smaller doc_id is removed.
 
     doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of the bytes left, for every document;
-    with_text adds them as kept, without the parts of a letter that a cut may leave. Null and empty texts have no bytes;
+    with_text adds them as kept, without the parts of a letter that a cut may leave; columns in carry pass through. Null and empty texts have no bytes;
     a null doc_id comes before all others; rows of one doc_id remove nothing from each other; a text of any length
     is whole and no match crosses documents. An empty table gives no row. Strings are judged on the input.
     """
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("carry"))
     texts, spans = repeated_windows(plain, Bytes, length, min(GRAM, length), lambda p, f, w: earlier(p, f, w, length), True)
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "carry"]
+    carried = to_arrow_type(plain.schema["carry"].dataType)
 
     def finish(batches):
-        for ids, at, rows in chunks(batches, ["id", "at", "text"]):
+        for ids, at, with_, rows in chunks(batches, ["id", "at", "carry", "text"]):
             out = []
-            for i, lists, t in zip(ids, at, rows):
+            for i, lists, w, t in zip(ids, at, with_, rows):
                 raw = (t or "").encode()
                 gone, runs, kept = 0, 0, raw
                 if lists:
@@ -151,13 +153,14 @@ def remove_earlier(docs: DataFrame, doc_id="doc_id", text="text", length: int =
                     gone = int((~keep).sum())
                     runs = int((np.diff(np.concatenate([[True], keep]).astype(np.int8)) == -1).sum())
                     kept = np.frombuffer(raw, np.uint8)[keep].tobytes()
-                out.append((i, len(raw), gone, runs, hashlib.sha256(kept).hexdigest()) + ((kept.decode("utf-8", "ignore"),) if with_text else ()))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                out.append((i, len(raw), gone, runs, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None, w))
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), carried]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     joined = texts.join(spans, texts.doc_id.eqNullSafe(spans.doc_id) & texts.tag.eqNullSafe(spans.tag), "left")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    return joined.select("id", "at", "text").mapInArrow(finish, schema)
+    schema = f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, carry {plain.schema['carry'].dataType.simpleString()}"
+    done = joined.select("id", "at", "carry", "text").mapInArrow(finish, schema)
+    return done.select(*names[:5], *["kept"] * with_text, *[f"carry.{c}" for c in carry])
 
 
 def op6_run_length_bwt(spark, sf_dir) -> DataFrame:

@@ -35,14 +35,15 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row; null text is empty, with fingerprint 0."""
+    """doc_id, tag (a hash of the text) and fp (the fingerprint as a signed long) of every row; null text is empty, with fingerprint 0."""
 
     def run(batches):
-        for ids, texts in chunks(batches, ["doc_id", "text"]):
+        for ids, tags, texts in chunks(batches, ["doc_id", "tag", "text"]):
             got = np.array([simhash(t, size) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(got)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(got)], names=["doc_id", "tag", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    read = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), F.col(text).alias("text"))
+    return read.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def _segments(fp, ball: bool):
@@ -126,6 +127,17 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def classes(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
+    """doc_id, tag, fp, root and component_id of every row; root names the class."""
+    rows = cut(fingerprints(docs, doc_id, text, size))
+    known = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(near_links(known.select("fp"), bucket))
+    placed = known.join(roots, known.fp == roots.b, "left").select("fp", "least", F.coalesce("a", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = placed.join(named, "root").select(F.col("fp").alias("_fp"), "root", "component_id")
+    return rows.join(of, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """doc_id, fingerprint and component_id of every document; fingerprints link at 2 differing bits or fewer.
 
@@ -134,14 +146,18 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size: int = S
     Equal fingerprints are merged before anything is compared, and repeated rows keep a row each. An empty table
     gives no row; other columns are not read.
     """
-    rows = cut(fingerprints(docs, doc_id, text, size))
-    known = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(known.select("fp"), bucket))
-    placed = known.join(roots, known.fp == roots.b, "left").select("fp", "least", F.coalesce("a", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    joined = rows.join(classes, F.col("fp") == F.col("_fp"))
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = classes(docs, doc_id, text, size, bucket)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stand for their class: one of each, with the least doc_id, a null one only if there is no other."""
+    found = classes(docs, doc_id, text, size)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
+    tagged = docs.withColumn("_text", F.xxhash64(text))
+    kept = tagged.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_tag")), "left_semi")
+    return kept.dropDuplicates([doc_id, "_text"]).drop("_text")
 
 
 def op3_multi_index(spark, sf_dir) -> DataFrame:
