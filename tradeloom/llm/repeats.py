@@ -18,10 +18,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, chunks, cut, key_of, parts
+from .common import blobs, chunks, cut, free, key_of, parts
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -261,7 +262,8 @@ def _passages(kind, length, k, buckets, across):
             ask = ask[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
             bounds = _groups(bucket)
-            joined = [b"".join([texts[i] for i in ask[a:b].tolist()]) for a, b in zip(bounds[:-1], bounds[1:])]
+            pack = zstandard.ZstdCompressor(level=3).compress
+            joined = [pack(b"".join([texts[i] for i in ask[a:b].tolist()])) for a, b in zip(bounds[:-1], bounds[1:])]
             yield _record(PASSAGE, {"bucket": pa.array(bucket[bounds[:-1]]), "facts": pa.array([facts[ask[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), "data": pa.array(joined, pa.binary())}, len(bounds) - 1)
 
         for ids, tags, at, texts in chunks(batches, ["doc_id", "tag", "at", "text"]):
@@ -293,7 +295,8 @@ def _judge(decide, across):
         out = [told]
         if blocks.num_rows:
             facts = np.concatenate([np.frombuffer(b, FACTS) for b in blocks.column("facts").to_pylist()])
-            data = b"".join(blocks.column("data").to_pylist())
+            unpack = zstandard.ZstdDecompressor().decompress
+            data = b"".join(map(unpack, blocks.column("data").to_pylist()))
             ends = np.cumsum(facts["size"].astype(np.int64))
             texts = [data[b - n : b] for b, n in zip(ends.tolist(), facts["size"].tolist())]
             number: dict[bytes, int] = {}
@@ -365,10 +368,20 @@ def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, across:
     spark = docs.sparkSession
     buckets = 4 * parts(spark)
     texts = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
-    anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets), _ddl(ANCHOR))
-    found = anchors.groupBy("bucket").applyInArrow(_match, _ddl(FOUND)).groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    chosen = texts.select("doc_id", "tag", "text").join(found, "doc_id").select("doc_id", "tag", "at", "text")
-    passages = chosen.mapInArrow(_passages(kind, length, k, buckets, across), _ddl(PASSAGE))
-    salted = passages.withColumn("bucket", F.coalesce("bucket", F.pmod("tag", F.lit(buckets)).cast("int")))
-    spans = salted.groupBy("bucket").applyInArrow(_judge(decide, across), _ddl(SPAN))
-    return texts, cut(spans.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at")))
+
+    def found():
+        anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets), _ddl(ANCHOR))
+        return cut(anchors.groupBy("bucket").applyInArrow(_match, _ddl(FOUND)).groupBy("doc_id").agg(F.collect_list("at").alias("at")))
+
+    def spans(kept):
+        chosen = texts.select("doc_id", "tag", "text").join(kept, "doc_id").select("doc_id", "tag", "at", "text")
+        passages = chosen.mapInArrow(_passages(kind, length, k, buckets, across), _ddl(PASSAGE))
+        salted = passages.withColumn("bucket", F.coalesce("bucket", F.pmod("tag", F.lit(buckets)).cast("int")))
+        judged = salted.groupBy("bucket").applyInArrow(_judge(decide, across), _ddl(SPAN))
+        return cut(judged.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at")))
+
+    kept = found()
+    free(spark)
+    repeats = spans(kept)
+    free(spark)
+    return texts, repeats
