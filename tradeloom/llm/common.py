@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,10 @@ def cut(df: DataFrame) -> DataFrame:
 def free(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more; without this they stay until
     the driver happens to collect its garbage, and a job of several steps holds the disk of all of them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what a first round lets go of, a later one finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def parts(spark: SparkSession) -> int:
