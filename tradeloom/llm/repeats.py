@@ -126,21 +126,53 @@ def _groups(sorted_values: np.ndarray):
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
-def _reply(schema, did: np.ndarray, *data: np.ndarray, tag: np.ndarray | None = None) -> pa.RecordBatch:
-    """A row for each document with what belongs to it; data: arrays that go side by side into its blob."""
-    order = np.lexsort((data[0], did) if tag is None else (data[0], tag, did))
-    did = did[order]
-    if tag is None:
-        bounds = _groups(did)
-    else:
-        tag = tag[order]
-        bounds = np.unique(np.concatenate([_groups(did), _groups(tag)]))
+def _reply(schema, homes: int, did: np.ndarray, *data: np.ndarray, tag: np.ndarray | None = None) -> pa.RecordBatch:
+    """What belongs to documents, as a block for each home (a hash of the doc_id); data: arrays that go side by side."""
+    home = _home(did, homes)
+    order = np.lexsort((did, home))
+    home, did = home[order], did[order]
+    bounds = _groups(home)
     block = np.stack([d[order] for d in data], axis=1).astype(np.uint32)
-    cols = {"bucket": None, "doc_id": pa.array(did[bounds[:-1]]), "tag": None if tag is None else pa.array(tag[bounds[:-1]])}
-    cols["at"] = blobs(block.reshape(-1), bounds * len(data))
+    cols = {"home": pa.array(home[bounds[:-1]].astype(np.int32)), "did": blobs(_steps(did, bounds), bounds), "at": blobs(block.reshape(-1), bounds * len(data))}
+    if tag is not None:
+        cols["tag"] = blobs(tag[order], bounds)
+    if "bucket" in schema:
+        cols["bucket"] = cols["home"]
     return _record(schema, cols, len(bounds) - 1)
 
 
+def _home(did: np.ndarray, homes: int) -> np.ndarray:
+    return (_mix(did.astype(np.uint64) * BASE) >> np.uint64(8)) % np.uint64(homes)
+
+
+def _steps(did: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Differences, each block from its own first: small numbers, which compress well."""
+    steps = np.diff(did, prepend=0)
+    steps[bounds[:-1]] = did[bounds[:-1]]
+    return steps
+
+
+def _stepped(column) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(b, "<i8")) for b in column.to_pylist()])
+
+
+def _gather(width: int):
+    """For a home: a row for each document (and text tag, where there is one) with all that belongs to it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        did = _stepped(table.column("did"))
+        data = np.frombuffer(b"".join(table.column("at").to_pylist()), "<u4").reshape(-1, width)
+        tagged = "tag" in table.column_names
+        tag = np.frombuffer(b"".join(table.column("tag").to_pylist()), "<i8") if tagged else np.zeros(len(did), np.int64)
+        order = np.lexsort((tag, did))
+        did, tag, data = did[order], tag[order], data[order]
+        bounds = np.unique(np.concatenate([_groups(did), _groups(tag)]))
+        cols = {"doc_id": pa.array(did[bounds[:-1]]), "tag": pa.array(tag[bounds[:-1]]), "at": blobs(data.reshape(-1), bounds * width)}
+        return pa.table({c: cols[c] for c in (["doc_id", "tag", "at"] if tagged else ["doc_id", "at"])})
+
+    return run
+
+
 def _record(schema: dict[str, pa.DataType], cols: dict, n: int) -> pa.RecordBatch:
     arrays = [cols[c] if cols.get(c) is not None else pa.nulls(n, t) for c, t in schema.items()]
     return pa.RecordBatch.from_arrays(arrays, names=list(schema))
@@ -151,10 +183,10 @@ def _ddl(schema) -> str:
     return ", ".join(f"{c} {names[t]}" for c, t in schema.items())
 
 
-ANCHOR = {"bucket": pa.int32(), "doc_id": pa.int64(), "at": pa.binary(), "h": pa.binary(), "did": pa.binary()}
-FOUND = {"doc_id": pa.int64(), "at": pa.binary()}
-PASSAGE = {"bucket": pa.int32(), "doc_id": pa.int64(), "tag": pa.int64(), "at": pa.binary(), "facts": pa.binary(), "data": pa.binary()}
-SPAN = {"doc_id": pa.int64(), "tag": pa.int64(), "at": pa.binary()}
+ANCHOR = {"bucket": pa.int32(), "home": pa.int32(), "did": pa.binary(), "at": pa.binary(), "h": pa.binary()}
+FOUND = {"home": pa.int32(), "did": pa.binary(), "at": pa.binary()}
+PASSAGE = {"bucket": pa.int32(), "home": pa.int32(), "did": pa.binary(), "tag": pa.binary(), "at": pa.binary(), "facts": pa.binary(), "data": pa.binary()}
+SPAN = {"home": pa.int32(), "did": pa.binary(), "tag": pa.binary(), "at": pa.binary()}
 FACTS = np.dtype([("h", "<u8"), ("did", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4"), ("known", "<u4")])
 
 
@@ -176,18 +208,14 @@ def _find(kind, length, k, buckets):
             many = np.diff(bounds) > 1
             known = np.repeat(many, np.diff(bounds))
             if known.any():
-                out = _reply(ANCHOR, did[known], pos[known])
-                salt = pa.array((np.asarray(out.column(1)) % buckets).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([salt, *out.columns[1:]], names=list(ANCHOR))
+                yield _reply(ANCHOR, buckets, did[known], pos[known])
             first = bounds[:-1]
             h, did, pos = h[first], did[first], pos[first] | np.where(many, KNOWN, np.uint32(0))
             bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             order = np.lexsort((did, bucket))
             h, did, pos, bucket = h[order], did[order], pos[order], bucket[order]
             bounds = _groups(bucket)
-            steps = np.diff(did, prepend=0)
-            steps[bounds[:-1]] = did[bounds[:-1]]  # each block counts from its own first
-            yield _record(ANCHOR, {"bucket": pa.array(bucket[bounds[:-1]]), "at": blobs(pos, bounds), "h": blobs(h, bounds), "did": blobs(steps, bounds)}, len(bounds) - 1)
+            yield _record(ANCHOR, {"bucket": pa.array(bucket[bounds[:-1]]), "at": blobs(pos, bounds), "h": blobs(h, bounds), "did": blobs(_steps(did, bounds), bounds)}, len(bounds) - 1)
 
         for ids, texts in chunks(batches, ["doc_id", "text"]):
             s = kind(texts)
@@ -202,29 +230,33 @@ def _find(kind, length, k, buckets):
     return run
 
 
-def _match(table: pa.Table) -> pa.Table:
+def _match(buckets):
     """Step 1 for a bucket: documents and places of the anchors that occur twice."""
-    told = table.filter(pa.compute.is_valid(table.column("doc_id"))).select(list(FOUND))
-    blocks = table.filter(pa.compute.is_null(table.column("doc_id")))
-    out = [told]
-    if blocks.num_rows:
-        h = np.frombuffer(b"".join(blocks.column("h").to_pylist()), "<u8")
-        did = np.concatenate([np.cumsum(np.frombuffer(b, "<i8")) for b in blocks.column("did").to_pylist()])
-        pos = np.frombuffer(b"".join(blocks.column("at").to_pylist()), "<u4")
-        order = np.argsort(h, kind="stable")
-        h, did, pos = h[order], did[order], pos[order]
-        bounds = _groups(h)
-        sizes = np.diff(bounds)
-        marked = np.add.reduceat((pos & KNOWN) > 0, bounds[:-1])
-        take = np.repeat((sizes > 1) | (marked > 0), sizes) & ((pos & KNOWN) == 0)
-        if take.any():
-            out.append(pa.Table.from_batches([_reply(FOUND, did[take], pos[take])]))
-    return pa.concat_tables([t.cast(pa.schema(list(FOUND.items()))) for t in out])
-
-
-def _places(lists, width=1) -> np.ndarray:
-    """The blobs of one document as an array of rows."""
-    return np.frombuffer(b"".join(lists), "<u4").reshape(-1, width).astype(np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        told = table.filter(pa.compute.is_valid(table.column("home"))).select(list(FOUND))
+        blocks = table.filter(pa.compute.is_null(table.column("home")))
+        out = [told]
+        if blocks.num_rows:
+            h = np.frombuffer(b"".join(blocks.column("h").to_pylist()), "<u8")
+            did = _stepped(blocks.column("did"))
+            pos = np.frombuffer(b"".join(blocks.column("at").to_pylist()), "<u4")
+            order = np.argsort(h, kind="stable")
+            h, did, pos = h[order], did[order], pos[order]
+            bounds = _groups(h)
+            sizes = np.diff(bounds)
+            marked = np.add.reduceat((pos & KNOWN) > 0, bounds[:-1])
+            take = np.repeat((sizes > 1) | (marked > 0), sizes) & ((pos & KNOWN) == 0)
+            if take.any():
+                out.append(pa.Table.from_batches([_reply(FOUND, buckets, did[take], pos[take])]))
+        return pa.concat_tables([t.cast(pa.schema(list(FOUND.items()))) for t in out])
+
+    return run
+
+
+def _places(blob, width=1) -> np.ndarray:
+    """The blob of one document as an array of rows."""
+    return np.frombuffer(blob, "<u4").reshape(-1, width).astype(np.int64)
 
 
 def _passages(kind, length, k, buckets, across):
@@ -257,7 +289,7 @@ def _passages(kind, length, k, buckets, across):
                 facts["known"][ask] = many
             if len(whole):
                 f = facts[whole]
-                yield _reply(PASSAGE, f["did"], f["start"], f["windows"], tag=f["tag"])
+                yield _reply(PASSAGE, buckets, f["did"], f["start"], f["windows"], tag=f["tag"])
             bucket = ((facts["h"][ask] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             ask = ask[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
@@ -286,12 +318,12 @@ def _passages(kind, length, k, buckets, across):
     return run
 
 
-def _judge(decide, across):
+def _judge(decide, across, buckets):
     """Step 3 for a bucket: decide(passages, facts) gives the repeated windows of passages that share their anchor with others."""
 
     def run(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table.column("doc_id"))).select(list(SPAN))
-        blocks = table.filter(pa.compute.is_null(table.column("doc_id")))
+        told = table.filter(pa.compute.is_valid(table.column("home"))).select(list(SPAN))
+        blocks = table.filter(pa.compute.is_null(table.column("home")))
         out = [told]
         if blocks.num_rows:
             facts = np.concatenate([np.frombuffer(b, FACTS) for b in blocks.column("facts").to_pylist()])
@@ -336,7 +368,7 @@ def _judge(decide, across):
                 spans.append((own, facts["start"][own] + first[rows], count[rows]))
             who, start, count = (np.concatenate(x) for x in zip(*spans))
             if len(who):
-                out.append(pa.Table.from_batches([_reply(SPAN, facts["did"][who], start, count, tag=facts["tag"][who])]))
+                out.append(pa.Table.from_batches([_reply(SPAN, buckets, facts["did"][who], start, count, tag=facts["tag"][who])]))
         return pa.concat_tables([t.cast(pa.schema(list(SPAN.items()))) for t in out])
 
     return run
@@ -371,14 +403,14 @@ def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, across:
 
     def found():
         anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets), _ddl(ANCHOR))
-        return cut(anchors.groupBy("bucket").applyInArrow(_match, _ddl(FOUND)).groupBy("doc_id").agg(F.collect_list("at").alias("at")))
+        matched = anchors.groupBy("bucket").applyInArrow(_match(buckets), _ddl(FOUND))
+        return cut(matched.groupBy("home").applyInArrow(_gather(1), "doc_id long, at binary"))
 
     def spans(kept):
         chosen = texts.select("doc_id", "tag", "text").join(kept, "doc_id").select("doc_id", "tag", "at", "text")
         passages = chosen.mapInArrow(_passages(kind, length, k, buckets, across), _ddl(PASSAGE))
-        salted = passages.withColumn("bucket", F.coalesce("bucket", F.pmod("tag", F.lit(buckets)).cast("int")))
-        judged = salted.groupBy("bucket").applyInArrow(_judge(decide, across), _ddl(SPAN))
-        return cut(judged.groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at")))
+        judged = passages.groupBy("bucket").applyInArrow(_judge(decide, across, buckets), _ddl(SPAN))
+        return cut(judged.groupBy("home").applyInArrow(_gather(2), "doc_id long, tag long, at binary"))
 
     kept = found()
     free(spark)
