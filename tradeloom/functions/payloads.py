@@ -9,6 +9,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def repair_json(text: str | None):
@@ -106,16 +107,16 @@ def deep_diff(a, b, path=""):
     return [] if a == b else [path]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repaired(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: json.dumps(got, sort_keys=True) if (got := repair_json(t)) is not None else None)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gzipped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: gzip.compress(t.encode(), mtime=0) if t is not None else None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: gzip.decompress(b).decode() if b is not None else None)

@@ -7,8 +7,13 @@ from pyspark.sql import types as T
 VECTOR_LENGTH = 384
 
 
+KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _fields(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from `name kind [not null], ...`; unlike DDL it needs no session."""
+    fields = [f.split(" ", 2) for f in text.replace("`", "").split(", ")]
+    return T.StructType([T.StructField(f[0], KINDS[f[1]], len(f) < 3) for f in fields])
 
 
 ENTITY = _fields(
