@@ -35,8 +35,7 @@ _POWERS: list[np.ndarray] = []
 
 def _powers(n: int):
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        steps = [np.full(n, x, dtype=np.uint64) for x in (BASE, BASE_INVERSE)]
+        steps = [np.full(max(n, 1 << 20), x, dtype=np.uint64) for x in (BASE, BASE_INVERSE)]
         for s in steps:
             s[0] = 1
         _POWERS[:] = [np.cumprod(s) for s in steps]

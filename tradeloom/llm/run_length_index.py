@@ -41,10 +41,10 @@ class RunLengthIndex:
         sizes = np.array([len(p) + 1 for p in passages])
         self.stops = np.cumsum(sizes) - 1
         key = np.zeros(n, np.int64)
-        for i in range(6):  # six symbols of 9 bits at once
+        have, classes = min(6, length), None
+        for i in range(have):  # up to six symbols of 9 bits at once
             key[: n - i] |= text[i:] << (9 * (5 - i))
         order, ranks = _ranks(key)
-        have, classes = 6, None
 
         def pair(r, step):
             later = np.full(n, -1, np.int64)
