@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, made, doc_id="doc_id", text="text", rows_in_bucke
     goes on to the range before it. Null texts are empty, null ids come last, equal ids are ordered by text.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = max(1, min(256, base.count() // rows_in_bucket))
+    n = max(1, min(1024, base.count() // rows_in_bucket))
     cuts = sorted({int(x) for x in base.select("doc_id").na.drop().approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
 
     def tree(lo, hi):
