@@ -189,7 +189,7 @@ SPAN = {"home": pa.int32(), "did": pa.binary(), "tag": pa.binary(), "at": pa.bin
 FACTS = np.dtype([("h", "<u8"), ("did", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4"), ("known", "<u4")])
 
 
-def _find(kind, length, k, buckets):
+def _find(kind, length, k, buckets, homes):
     """Task of step 1: its anchors, each hash once, by bucket; where one occurs twice here, its documents are told at once."""
 
     def run(batches):
@@ -207,7 +207,7 @@ def _find(kind, length, k, buckets):
             many = np.diff(bounds) > 1
             known = np.repeat(many, np.diff(bounds))
             if known.any():
-                yield _reply(ANCHOR, buckets, did[known], pos[known])
+                yield _reply(ANCHOR, homes, did[known], pos[known])
             first = bounds[:-1]
             h, did, pos = h[first], did[first], pos[first] | np.where(many, KNOWN, np.uint32(0))
             bucket = ((h >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
@@ -229,7 +229,7 @@ def _find(kind, length, k, buckets):
     return run
 
 
-def _match(buckets):
+def _match(homes):
     """Step 1 for a bucket: documents and places of the anchors that occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -247,7 +247,7 @@ def _match(buckets):
             marked = np.add.reduceat((pos & KNOWN) > 0, bounds[:-1])
             take = np.repeat((sizes > 1) | (marked > 0), sizes) & ((pos & KNOWN) == 0)
             if take.any():
-                out.append(pa.Table.from_batches([_reply(FOUND, buckets, did[take], pos[take])]))
+                out.append(pa.Table.from_batches([_reply(FOUND, homes, did[take], pos[take])]))
         return pa.concat_tables([t.cast(pa.schema(list(FOUND.items()))) for t in out])
 
     return run
@@ -258,7 +258,7 @@ def _places(blob, width=1) -> np.ndarray:
     return np.frombuffer(blob, "<u4").reshape(-1, width).astype(np.int64)
 
 
-def _passages(kind, length, k, buckets, across):
+def _passages(kind, length, k, buckets, homes, across):
     """Task of step 2: the passages of kept anchors, equal ones once, by bucket; across: only other documents count."""
 
     def run(batches):
@@ -288,7 +288,7 @@ def _passages(kind, length, k, buckets, across):
                 facts["known"][ask] = many
             if len(whole):
                 f = facts[whole]
-                yield _reply(PASSAGE, buckets, f["did"], f["start"], f["windows"], tag=f["tag"])
+                yield _reply(PASSAGE, homes, f["did"], f["start"], f["windows"], tag=f["tag"])
             bucket = ((facts["h"][ask] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             ask = ask[np.argsort(bucket, kind="stable")]
             bucket = np.sort(bucket, kind="stable")
@@ -317,7 +317,7 @@ def _passages(kind, length, k, buckets, across):
     return run
 
 
-def _judge(decide, across, buckets):
+def _judge(decide, across, homes):
     """Step 3 for a bucket: decide(passages, facts) gives the repeated windows of passages that share their anchor with others."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -367,7 +367,7 @@ def _judge(decide, across, buckets):
                 spans.append((own, facts["start"][own] + first[rows], count[rows]))
             who, start, count = (np.concatenate(x) for x in zip(*spans))
             if len(who):
-                out.append(pa.Table.from_batches([_reply(SPAN, buckets, facts["did"][who], start, count, tag=facts["tag"][who])]))
+                out.append(pa.Table.from_batches([_reply(SPAN, homes, facts["did"][who], start, count, tag=facts["tag"][who])]))
         return pa.concat_tables([t.cast(pa.schema(list(SPAN.items()))) for t in out])
 
     return run
@@ -397,18 +397,18 @@ def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, across:
     doc_id is a key without nulls and tag a hash of the text: rows with equal ids and texts share their spans.
     """
     spark = docs.sparkSession
-    buckets = 4 * parts(spark)
+    buckets, homes = 2 * parts(spark), parts(spark)
     texts = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
 
     def found():
-        anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets), _ddl(ANCHOR))
-        matched = anchors.groupBy("bucket").applyInArrow(_match(buckets), _ddl(FOUND))
+        anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets, homes), _ddl(ANCHOR))
+        matched = anchors.groupBy("bucket").applyInArrow(_match(homes), _ddl(FOUND))
         return cut(matched.groupBy("home").applyInArrow(_gather(1), "doc_id long, at binary"))
 
     def spans(kept):
         chosen = texts.select("doc_id", "tag", "text").join(kept, "doc_id").select("doc_id", "tag", "at", "text")
-        passages = chosen.mapInArrow(_passages(kind, length, k, buckets, across), _ddl(PASSAGE))
-        judged = passages.groupBy("bucket").applyInArrow(_judge(decide, across, buckets), _ddl(SPAN))
+        passages = chosen.mapInArrow(_passages(kind, length, k, buckets, homes, across), _ddl(PASSAGE))
+        judged = passages.groupBy("bucket").applyInArrow(_judge(decide, across, homes), _ddl(SPAN))
         return cut(judged.groupBy("home").applyInArrow(_gather(2), "doc_id long, tag long, at binary"))
 
     kept = found()
