@@ -15,7 +15,7 @@ from .repeats import Bytes, keep_mask, repeated_windows, windows_to_runs
 
 WINDOW = 50
 GRAM = 24
-SHARD_BYTES = 2_000_000
+SHARD_BYTES = 500_000
 SEPARATOR = 0xFF  # no byte of UTF-8
 
 
