@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -46,8 +47,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back to the system. Python workers outlive their tasks, and what their allocators keep for
+    later (measured: some 150 MB a worker) counts against the executor all the while."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        give(0)
+
+
 def chunks(batches, columns, limit=2_000_000):
     """Python lists of the columns, in runs of rows whose last column (text) has about `limit` characters at most."""
+    batch = cols = None
     for batch in batches:
         cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
         start = size = 0
@@ -58,6 +68,8 @@ def chunks(batches, columns, limit=2_000_000):
                 start, size = i + 1, 0
         if start < len(cols[-1]):
             yield [c[start:] for c in cols]
+    del batch, cols
+    trim()
 
 
 def blobs(data: np.ndarray, bounds: np.ndarray) -> pa.Array:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents
+from .common import chunks, documents, trim
 
 DIMENSIONS = 1024
 UNDETERMINED = "und"
@@ -154,6 +154,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id="doc_id",
                 start, size = end + 1, 0
             kept = [batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(preds), pa.array(scores)], names=[*batch.schema.names, "lang_pred", "score"])
+        letters = batch = texts = kept = table = None
+        trim()
 
     clash = [c for c in ("lang_pred", "score") if c in docs.columns]
     schema = docs.drop(*clash).schema.add("lang_pred", "string").add("score", "double")

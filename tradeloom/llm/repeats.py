@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, chunks, cut, free, key_of, parts
+from .common import blobs, chunks, cut, free, key_of, parts, trim
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -225,6 +225,8 @@ def _find(kind, length, k, buckets, homes):
             if n >= FLUSH_ANCHORS:
                 yield from flush()
         yield from flush()
+        s = None
+        trim()
 
     return run
 
@@ -313,6 +315,8 @@ def _passages(kind, length, k, buckets, homes, across):
             if size >= FLUSH_BYTES:
                 yield from flush()
         yield from flush()
+        s = None
+        trim()
 
     return run
 
@@ -354,6 +358,7 @@ def _judge(decide, across, homes):
             turn = turn[crowd[turn]]
             if len(turn):
                 which, first, count = decide([texts[i] for i in lead[turn].tolist()], facts[lead[turn]], weight[turn])
+                trim()
                 # each owner of a passage gets the passage's windows
                 place = np.full(len(lead), -1)
                 place[turn] = np.arange(len(turn))
