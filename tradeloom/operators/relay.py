@@ -95,6 +95,23 @@ def related_documents(pairs: DataFrame, of: DataFrame, limit: int = 10) -> DataF
     return both.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy("id"))).filter(F.col("rank") <= limit)
 
 
+def related_to_all(pairs: DataFrame, limit: int = 10, salts: int = 64) -> DataFrame:
+    """For every record: the first `limit` others by id that refer to what it refers to; (me, id, rank).
+
+    pairs: (id, ref). Each ref keeps its limit + 1 least ids, taken by a salt first, so a hot ref is spread over tasks
+    and costs each of its records a few rows and not one for each other. Null refs relate to nothing.
+    """
+    from pyspark.sql import Window
+
+    known = pairs.filter(F.col("ref").isNotNull()).distinct()
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("id"))
+    few = known.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("_r", rank("ref", "_salt")).filter(F.col("_r") <= limit + 1)
+    least = few.withColumn("_r", rank("ref")).filter(F.col("_r") <= limit + 1).groupBy("ref").agg(F.collect_list("id").alias("least"))
+    others = known.join(least, "ref").select(F.col("id").alias("me"), F.explode("least").alias("id"))
+    both = others.filter(F.col("id") != F.col("me")).distinct()
+    return both.withColumn("rank", rank("me")).filter(F.col("rank") <= limit)
+
+
 def unnest_goods(orders: DataFrame, goods: str, keep: list[str]) -> DataFrame:
     """One shipment row for each entry of an order's goods, with its place in the order."""
     return orders.select(*keep, F.posexplode(goods).alias("place", "entry")).select(*keep, "place", "entry.*")

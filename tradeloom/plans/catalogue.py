@@ -481,6 +481,17 @@ def related_documents(spark, sf_dir):
     return relay.related_documents(d, d.filter("id % 100 = 7"))
 
 
+@query(
+    """WITH k AS (SELECT DISTINCT source, doc_id FROM documents WHERE source IS NOT NULL),
+    t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 11),
+    b AS (SELECT DISTINCT k.doc_id AS me, t.doc_id AS id FROM k JOIN t ON k.source = t.source AND k.doc_id <> t.doc_id)
+    SELECT me, id, (row_number() OVER (PARTITION BY me ORDER BY id))::INTEGER AS rank FROM b QUALIFY rank <= 10"""
+)
+def related_documents_whole(spark, sf_dir):
+    """related_documents for every document, by its source."""
+    return relay.related_to_all(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("ref")))
+
+
 # ---- vectors and search
 
 
