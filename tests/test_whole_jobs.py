@@ -1,4 +1,13 @@
-from tradeloom.operators import relay
+from pyspark.sql import functions as F
+
+from tradeloom.operators import metrics, relay
+
+
+def test_all_logs_of_a_hot_key(spark):
+    df = spark.range(1000).select(F.col("id"), F.lit("u").alias("k"))
+    got = metrics.group_all_logs(df, ["k"], "id", F.col("id"), 300).orderBy("part").collect()
+    assert [(r["part"], r["n"], len(r["logs"])) for r in got] == [(0, 1000, 300), (1, 1000, 300), (2, 1000, 300), (3, 1000, 100)]
+    assert [x for r in got for x in r["logs"]] == list(range(1000))
 
 
 def test_every_document_is_related(spark):

@@ -49,6 +49,25 @@ def gaps(lines: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key, "line").agg(F.min("gap").alias("min_gap"), F.max("gap").alias("max_gap"), F.count("*").alias("gaps"))
 
 
+def group_all_logs(events: DataFrame, keys: list[str], order: str, value: Column, size: int = 300, ranges: int = 64) -> DataFrame:
+    """All logs of each key in order, in parts of `size` from 0; n counts all rows of the key.
+
+    A place in the order is the place within a range of order values plus the rows of the key in the ranges before,
+    so no task sorts all rows of a hot key.
+    """
+    cuts = sorted(set(events.select(order).na.drop().approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
+    range_of = F.coalesce(sum((F.col(order) >= c).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(-1))
+    dealt = events.withColumn("_v", value).withColumn("_in", range_of).select(*keys, F.col(order).alias("_o"), "_v", "_in")
+    ahead = Window.partitionBy(*keys).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*keys, "_in").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(ahead), F.lit(0))).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+    placed = dealt.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_in").orderBy("_o")))
+    placed = placed.join(counts.select(*[F.col(k).alias(f"_k{k}") for k in (*keys, "_in")], "_before", "n"), [F.col(k).eqNullSafe(F.col(f"_k{k}")) for k in (*keys, "_in")])
+    place = (F.col("_before") + F.col("_r") - 1).alias("_p")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
+    return placed.select(*keys, "n", "_v", place).withColumn("part", F.floor(F.col("_p") / size)).groupBy(*keys, "part", "n").agg(listed.alias("logs"))
+
+
 def group_logs(events: DataFrame, keys: list[str], order: Column, value: Column, most: int = 300) -> DataFrame:
     """For each key, its first `most` logs in order, as a list."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))

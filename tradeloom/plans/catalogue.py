@@ -353,6 +353,16 @@ def log_group_by_href(spark, sf_dir):
     return got.withColumn("logs", F.array_join("logs", ","))
 
 
+@query(
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
+    SELECT user_id, event_type, rn // 300 AS part, n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS logs FROM r GROUP BY ALL"""
+)
+def log_group_by_href_whole(spark, sf_dir):
+    """log_group_by_href without a cap: all logs of a key, in parts of 300, with the key's count over all rows."""
+    got = metrics.group_all_logs(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", F.col("event_id").cast("string"))
+    return got.withColumn("logs", F.array_join("logs", ","))
+
+
 # ---- upserts and set operations
 
 
