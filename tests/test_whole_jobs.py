@@ -1,6 +1,9 @@
 from pyspark.sql import functions as F
 
-from tradeloom.operators import metrics, relay
+from tradeloom.operators import metrics, relay, spans
+from tradeloom.plans import catalogue
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_all_logs_of_a_hot_key(spark):
@@ -15,3 +18,17 @@ def test_every_document_is_related(spark):
     got = relay.related_to_all(pairs).collect()
     assert {r["me"] for r in got} == {*range(40), 50, 51}
     assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["me"] == 3] == [0, 1, 2, 4, 5, 6, 7, 8, 9, 10]
+
+
+def test_strides_of_the_operator(spark):
+    got = catalogue.lagged_self_similarity_whole(spark, SF)
+    n = {r["label"]: r["count"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()}
+    assert {(r["label"], r["stride"]) for r in got.collect()} == {(k, s) for k in n if n[k] >= 20 for s in range(2, min(n[k] // 3, 40) + 1)}
+
+
+def test_spans_of_two_to_eight_words(spark):
+    assert {r["size"] for r in catalogue.span_overlap_bonus(spark, SF).select("size").distinct().collect()} == set(range(2, 9))
+    rows = [(1, s, n, (s * 7 + n * 3) % 10 / 10) for s in range(12) for n in range(2, 9)]
+    df = spark.createDataFrame(rows, "item_id long, start int, size int, score double")
+    want = {(s, n): max([x for _, a, m, x in rows if s < a < s + n < a + m], default=0.0) * 0.1 for _, s, n, _ in rows}
+    assert {(r["start"], r["size"]): r["bonus"] for r in spans.overlap_bonus(df, "item_id").collect()} == want

@@ -17,10 +17,12 @@ def ngrams(df: DataFrame, key: str, text: str, least: int = 2, most: int = 8) ->
 
 def overlap_bonus(spans: DataFrame, key: str, share: float = 0.1) -> DataFrame:
     """Spans with the greatest score of a span that begins in them and ends behind them, times `share`."""
-    other = spans.select(F.col(key).alias("_k"), F.col("start").alias("_s"), (F.col("start") + F.col("size")).alias("_e"), F.col("score").alias("_x"))
+    other = spans.groupBy(F.col(key).alias("_k"), F.col("start").alias("_s"), (F.col("start") + F.col("size")).alias("_e")).agg(F.max("score").alias("_x"))
     end = F.col("start") + F.col("size")
-    crossing = (F.col(key) == F.col("_k")) & (F.col("_s") > F.col("start")) & (F.col("_s") < end) & (F.col("_e") > end)
-    return spans.join(other, crossing, "left").groupBy(*spans.columns).agg((F.coalesce(F.max("_x"), F.lit(0.0)) * share).alias("bonus"))
+    inside = F.when(F.col("size") > 1, F.sequence(F.col("start") + 1, end - 1))
+    at = spans.withColumn("_at", F.explode_outer(inside))
+    crossing = (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_s")) & (F.col("_e") > end)
+    return at.join(other, crossing, "left").groupBy(*spans.columns).agg((F.coalesce(F.max("_x"), F.lit(0.0)) * share).alias("bonus"))
 
 
 def suppress(spans: list[dict]) -> list[dict]:

@@ -602,6 +602,22 @@ def hybrid_three_track(spark, sf_dir):
     return got.select("id", rounded("score"), "tracks")
 
 
+LAGS = 40
+
+
+@query(
+    f"""WITH r AS (SELECT label, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM embeddings)
+    SELECT a.label, k.stride::INTEGER AS stride, round(avg(list_cosine_similarity(a.v, b.v)), 5) AS similarity
+    FROM r a JOIN (SELECT unnest(range(2, {LAGS + 1})) AS stride) k ON a.n >= 20 AND k.stride <= a.n // 3 JOIN r b ON b.label = a.label AND b.rn = a.rn + k.stride GROUP BY ALL"""
+)
+def lagged_self_similarity_whole(spark, sf_dir):
+    """lagged_self_similarity with all strides of the operator, 2 to 40 or a third of the label's rows; labels of under 20 rows have none."""
+    rows = table(spark, sf_dir, "embeddings")
+    bound = rows.groupBy(F.col("label").alias("_of")).agg(F.when(F.count("*") >= 20, F.floor(F.count("*") / 3)).alias("_most"))
+    got = vectors.self_similarity(rows, "label", "vec_id", "embedding", range(2, LAGS + 1))
+    return got.join(bound, F.col("label").eqNullSafe(F.col("_of"))).filter(F.col("stride") <= F.col("_most")).select("label", "stride", rounded("similarity", 5))
+
+
 # ---- spans
 
 
@@ -615,8 +631,8 @@ def ngram_spans(spark, sf_dir):
 
 
 def scored_spans(spark, sf_dir):
-    few = spans.ngrams(table(spark, sf_dir, "benchmark"), "item_id", "text", 2, 3)
-    return few.select("item_id", "start", "size", (F.pmod(F.crc32(F.col("span").cast("binary")), F.lit(1000)) / 1000).alias("score"))
+    every = spans.ngrams(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return every.select("item_id", "start", "size", (F.pmod(F.crc32(F.col("span").cast("binary")), F.lit(1000)) / 1000).alias("score"))
 
 
 @query()
