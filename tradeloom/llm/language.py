@@ -14,7 +14,6 @@ from .common import chunks, documents, trim
 DIMENSIONS = 1024
 UNDETERMINED = "und"
 TRAIN_ROWS = 50_000
-REJECT_BELOW = 0.2
 
 
 def letter_vector(code: int, dimensions: int) -> np.ndarray:
