@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tradeloom.llm import bpe, chat, language, packing, run_length_index, simhash, sketch, suffix_automaton, tiff, token_files, tokens
+from tradeloom.llm import bpe, chat, language, packing, repeats, run_length_index, simhash, sketch, suffix_automaton, tiff, token_files, tokens
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -207,23 +207,73 @@ def test_remove_earlier(docs, no_docs, spark):
         assert rows(run_length_index.remove_earlier(df, length=n), *cols) == brute_bytes(tight, n)
 
 
-def test_index_steps_and_samples():
-    passages = [b"banana bandana", b"bananas and bandanas", b"an"]
-    index = run_length_index.RunLengthIndex(passages, np.array([3, 1, 2]), 4)
-    text = b"\xff".join(passages) + b"\xff"
-    order = sorted(range(len(text) + 1), key=lambda i: [b + 1 for b in text[i:]] + [0])
-    assert [index.locate(r) for r in range(len(order))] == order
-    marks = index.stream(np.array([3, 1, 2]))
-    assert marks[0, 0] and not marks[1].any()
+def longest(text, i, passages):
+    n = 0
+    while n < len(text) - i and any(text[i : i + n + 1] in p for p in passages):
+        n += 1
+    return n
+
+
+def test_matching_statistics_of_the_run_length_index():
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        n = int(rng.choice([2, 5, 8, 9, 30]))
+        word = lambda least: bytes(rng.integers(97, 97 + 1 + trial % 3, int(rng.integers(least, n + 30))).astype(np.uint8))
+        passages = sorted({word(n) for _ in range(rng.integers(1, 12))})
+        owners = rng.integers(0, 5, len(passages))
+        index = run_length_index.RunLengthIndex(passages, owners, n)
+        read = passages + [word(n) for _ in range(4)]
+        for step, who, length, row, at in index.stream(read):
+            text = b"\xff".join(passages) + b"\xff"
+            for w, got, place in zip(who.tolist(), length.tolist(), at.tolist()):
+                start = len(read[w]) - step
+                want = longest(read[w], start, passages)
+                assert got == want or min(got, want) >= n
+                assert text[place : place + min(got, n)] == read[w][start : start + min(got, n)]  # the samples lead to a place that matches
+        for text, least in zip(read, index.least_owners(read)):
+            for j in range(len(text) - n + 1):
+                assert least[j] == min([o for p, o in zip(passages, owners) if text[j : j + n] in p], default=repeats.NOWHERE)
+        anchors = np.zeros(len(passages))  # one anchor of many shards
+        assert (run_length_index.least_owners(passages, anchors, owners, None, n, shard=20) == run_length_index.least_owners(passages, anchors, owners, None, n)).all()
 
 
 def test_automaton():
-    a = suffix_automaton.SuffixAutomaton()
+    a = suffix_automaton.SuffixAutomaton(3)
     a.add("abcab")
-    a.add("bca", 2)
-    a.close()
-    assert [n for n, _ in a.stream("xbcabz", 3)] == [0, 1, 2, 3, 3, 0]
-    assert list(a.stream("bca", 3))[-1] == (3, 3)
+    a.add("bca")
+    assert [n for n, _ in a.stream("xbcabz")] == [0, 1, 2, 3, 3, 0]
+    assert a.windows("xbcabz") == [1, 2] and a.windows("bca", seen=True) == []
+    assert a.windows("bca", mark=True) == [0] and a.windows("xbcab", seen=True) == [1]
+
+
+def test_windows_held_elsewhere():
+    rng = np.random.default_rng(8)
+    for trial in range(60):
+        n = 2 + trial % 4
+        passages = sorted({b" ".join(bytes([x]) for x in rng.permutation(range(97, 97 + n + 3))[: n + trial % 3].tolist()) for _ in range(8)})
+        places = rng.integers(1, 3, len(passages))
+        for shard in (5, 1000):
+            got = suffix_automaton.held_elsewhere(passages, np.zeros(len(passages)), None, places, n, shard)
+            for i, p in enumerate(passages):
+                words = p.split()
+                for j in range(len(words) - n + 1):
+                    held = sum(int(k) for q, k in zip(passages, places) if any(q.split()[x : x + n] == words[j : j + n] for x in range(len(q))))
+                    assert (got[i, j] == -1) == (held > 1)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_frequent_passages_and_hot_anchors(spark, broadcast):
+    """A passage in every document, a line in different surroundings, a null id, and repeats in one document."""
+    rng = np.random.default_rng(9)
+    line = " ".join(f"licence{i}" for i in range(60))
+    head = "          " * 3 + "common opening of many lines "
+    given = []
+    for i in range(40):
+        own = " ".join(f"{x:x}" for x in rng.integers(0, 10**9, 30))
+        given.append((None if i == 7 else 100 - i, f"{own} {line} {head}{own} {line if i % 5 == 0 else ''}"))
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    assert rows(suffix_automaton.remove_repeats(df, broadcast=broadcast), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_words(given)
+    assert rows(run_length_index.remove_earlier(df, broadcast=broadcast), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(given)
 
 
 # op5

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -13,30 +12,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NO_ID = -(2**63)  # stands in for a null doc_id where ids are compared or joined
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set only where no spark.checkpoint.dir is given, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir. Where none is set, a local session gets a temporary
+    folder of its own; on a cluster, whose executors could not read that, this is an error."""
+    context = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tradeloom-"))
-    return jsc.getCheckpointDir().get()
+    if not folder and context.getCheckpointDir().isDefined():
+        folder = context.getCheckpointDir().get()
+    if not folder:
+        if not context.isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tradeloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name in the shared folder that nothing else uses. What is written there goes when the application ends."""
+    folder = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and read them from there: lost executors cost nothing that is done."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def free(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of steps that nothing refers to any more; without this they stay until
-    the driver happens to collect its garbage, and a job of several steps holds the disk of all of them."""
-    for _ in range(3):  # what a first round lets go of, a later one finds
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    """Write the rows to the shared folder and read them from there: lost executors cost nothing that is done.
+
+    The shuffle files of the plan go as soon as its rows are written, so that a job of several steps holds the disk of
+    one of them. Spark does this itself for an execution that began under CLEAN.
+    """
+    spark = df.sparkSession
+    path, before = f"{new_folder(spark, 'cut')}/rows", spark.conf.get(CLEAN)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(spark: SparkSession) -> int:

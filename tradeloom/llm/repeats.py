@@ -4,30 +4,39 @@ A window is L symbols (words or bytes) of one document. The least hash of its k-
 occurrences of a window have the same anchor at the same place. A window can only repeat if its anchor does. So:
 
 1. anchors: every document gives its anchors (about 2 in L - k + 2 symbols); those that occur twice are kept,
-2. passages: the windows of a kept anchor lie in one run, a passage; equal passages are merged before they move,
-3. an index over the passages of a shard of anchors decides which windows repeat (the operators' own methods),
+2. passages: the windows of a kept anchor lie in one run, a passage; its text moves once a block, its places beside it,
+3. an index over the passages of a shard of anchors decides which windows repeat (the operators' own methods):
+   each different passage streams against it, and what its matching statistics say holds for all its places,
 4. spans: each document gets its repeated windows back.
 
-Hashes only choose what is compared: grams with equal hashes cost time, not correctness. Anchors and passages move as
-binary blocks of many, by a hash of the anchor; a task merges those that are common in its own input first, so a
-passage that a third of all documents share sends one row a task and not one a document.
+Anchors only choose what is compared: grams with equal hashes cost time, not correctness, and no window is judged by
+them. Passages that many documents share would meet in one task, so the most frequent ones (HOT_PASSAGES at most, of
+HOT_BYTES bytes at most each, so their index has a size bound) are found on the way in step 1, and an index of them is
+broadcast: documents stream against it in step 2, and the windows it decides are told at once, without moving.
 """
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, chunks, cut, free, key_of, parts, trim
+from .common import blobs, chunks, cut, key_of, parts, trim
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 FLUSH_ANCHORS = 1_000_000
 FLUSH_BYTES = 24_000_000
+OFTEN = 4  # equal passages in a chunk of 2 million characters that may be among the most frequent ones
+HOT_PASSAGES = 1000
+HOT_BYTES = 2000
+NOWHERE = 2**63 - 1
 KNOWN = np.uint32(1 << 31)
 
 _POWERS: list[np.ndarray] = []
@@ -125,6 +134,31 @@ def _groups(sorted_values: np.ndarray):
     return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]])
 
 
+def shards(h, sizes: np.ndarray, most: int):
+    """(lo, hi, first, end): an index over the passages lo to hi - 1 is for the passages first to end - 1.
+
+    Passages stand together by anchor (h). A shard is of whole anchors, of `most` symbols or little more; one anchor
+    with more than that has several, and all its passages are read against each.
+    """
+    edges, lo, size = _groups(np.asarray(h)).tolist(), 0, 0
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = int(sizes[a:b].sum())
+        if size and size + own > most:
+            yield lo, a, lo, a
+            lo, size = a, 0
+        if own > most:
+            at = a
+            while at < b:
+                to = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:b]), most, side="right")))
+                yield at, min(to, b), a, b
+                at = to
+            lo, size = b, 0
+        else:
+            size += own
+    if size:
+        yield lo, edges[-1], lo, edges[-1]
+
+
 def _reply(schema, homes: int, did: np.ndarray, *data: np.ndarray, tag: np.ndarray | None = None) -> pa.RecordBatch:
     """What belongs to documents, as a block for each home (a hash of the doc_id); data: arrays that go side by side."""
     home = _home(did, homes)
@@ -159,6 +193,10 @@ def _gather(width: int):
     """For a home: a row for each document (and text tag, where there is one) with all that belongs to it."""
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("home")[0].as_py() == HOT:  # the most frequent passages, without a document
+            best = _hottest(zip(table.column("at").to_pylist(), table.column("did").to_pylist()))
+            rows = [struct.pack("<qqQ", *f) + t for t, f in best.items()]
+            return pa.table({"doc_id": pa.nulls(len(rows), pa.int64()), "at": pa.array(rows, pa.binary())})
         did = _stepped(table.column("did"))
         data = np.frombuffer(b"".join(table.column("at").to_pylist()), "<u4").reshape(-1, width)
         tagged = "tag" in table.column_names
@@ -186,14 +224,71 @@ ANCHOR = {"bucket": pa.int32(), "home": pa.int32(), "did": pa.binary(), "at": pa
 FOUND = {"home": pa.int32(), "did": pa.binary(), "at": pa.binary()}
 PASSAGE = {"bucket": pa.int32(), "home": pa.int32(), "did": pa.binary(), "tag": pa.binary(), "at": pa.binary(), "facts": pa.binary(), "data": pa.binary()}
 SPAN = {"home": pa.int32(), "did": pa.binary(), "tag": pa.binary(), "at": pa.binary()}
-FACTS = np.dtype([("h", "<u8"), ("did", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4"), ("known", "<u4")])
+FACTS = [("h", "<u8"), ("did", "<i8"), ("tag", "<i8"), ("start", "<u4"), ("windows", "<u4"), ("size", "<u4")]  # size 0: the text of the passage before
+HOT = -1  # the home of frequent passages
+
+
+def _packed(facts: np.ndarray) -> bytes:
+    """Column by column, which compresses well."""
+    raw = b"".join(np.ascontiguousarray(facts[c]).tobytes() for c, _ in FACTS)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
+
+
+def _unpacked(blocks) -> np.ndarray:
+    out = []
+    for b in blocks:
+        raw, at = zstandard.ZstdDecompressor().decompress(b), 0
+        n = len(raw) // np.dtype(FACTS).itemsize
+        part = np.empty(n, FACTS)
+        for c, t in FACTS:
+            part[c] = np.frombuffer(raw, t, n, at)
+            at += n * np.dtype(t).itemsize
+        out.append(part)
+    return np.concatenate(out)
+
+
+def _frequent(found: dict, s, p, h, j0, j1, length, dids) -> None:
+    """Count the passages that stand OFTEN times or more in this chunk: text to (times, least document, anchor's hash)."""
+    order = np.argsort(h, kind="stable")
+    bounds = _groups(h[order])
+    for g in np.flatnonzero(np.diff(bounds) >= OFTEN).tolist():
+        mine = order[bounds[g] : bounds[g + 1]]
+        x, y = s.spans(j0[mine], j1[mine] + length - 1)
+        here: dict[bytes, list[int]] = {}
+        for u, v, i in zip(x.tolist(), y.tolist(), mine.tolist()):
+            if v - u <= HOT_BYTES:
+                here.setdefault(s.data[u:v], []).append(i)
+        for t, places in here.items():
+            if len(places) >= OFTEN:
+                n, least, _ = found.get(t, (0, NOWHERE, 0))
+                found[t] = (n + len(places), min(least, min(dids[s.doc[p[i]]] for i in places)), int(h[mine[0]]))
+    if len(found) > 4 * HOT_PASSAGES:
+        for t in sorted(found, key=lambda t: (-found[t][0], t))[2 * HOT_PASSAGES :]:
+            del found[t]
+
+
+def _told_hot(found: dict, buckets: int) -> pa.RecordBatch:
+    best = sorted(found, key=lambda t: (-found[t][0], t))[:HOT_PASSAGES]
+    bucket = pa.array([xxhash.xxh64_intdigest(t) % buckets for t in best], pa.int32())
+    facts = [struct.pack("<qqQ", *found[t]) for t in best]
+    return _record(ANCHOR, {"bucket": bucket, "home": pa.array([HOT] * len(best), pa.int32()), "did": pa.array(facts, pa.binary()), "h": pa.array(best, pa.binary())}, len(best))
+
+
+def _hottest(rows) -> dict:
+    """Sums of the counts of (text, facts) rows; the most frequent texts."""
+    found: dict = {}
+    for t, f in rows:
+        n, least, h = struct.unpack("<qqQ", f)
+        m, other, _ = found.get(t, (0, NOWHERE, 0))
+        found[t] = (n + m, min(least, other), h)
+    return {t: found[t] for t in sorted(found, key=lambda t: (-found[t][0], t))[:HOT_PASSAGES]}
 
 
 def _find(kind, length, k, buckets, homes):
     """Task of step 1: its anchors, each hash once, by bucket; where one occurs twice here, its documents are told at once."""
 
     def run(batches):
-        held, n = [], 0
+        held, n, hot = [], 0, {}
 
         def flush():
             nonlocal held, n
@@ -218,13 +313,16 @@ def _find(kind, length, k, buckets, homes):
 
         for ids, texts in chunks(batches, ["doc_id", "text"]):
             s = kind(texts)
-            p, h, _, _ = anchor_runs(s.codes, s.doc, length, k)
+            p, h, j0, j1 = anchor_runs(s.codes, s.doc, length, k)
             of = s.doc[p]
+            _frequent(hot, s, p, h, j0, j1, length, ids)
             held.append((h, np.array(ids, dtype=np.int64)[of], (p - s.first[of]).astype(np.uint32)))
             n += len(p)
             if n >= FLUSH_ANCHORS:
                 yield from flush()
         yield from flush()
+        if hot:
+            yield _told_hot(hot, buckets)
         s = None
         trim()
 
@@ -235,9 +333,14 @@ def _match(homes):
     """Step 1 for a bucket: documents and places of the anchors that occur twice."""
 
     def run(table: pa.Table) -> pa.Table:
-        told = table.filter(pa.compute.is_valid(table.column("home"))).select(list(FOUND))
+        told = table.filter(pa.compute.greater_equal(table.column("home"), 0)).select(list(FOUND))
+        hot = table.filter(pa.compute.less(table.column("home"), 0))
         blocks = table.filter(pa.compute.is_null(table.column("home")))
         out = [told]
+        if hot.num_rows:
+            best = _hottest(zip(hot.column("h").to_pylist(), hot.column("did").to_pylist()))
+            cols = {"home": pa.array([HOT] * len(best), pa.int32()), "did": pa.array([struct.pack("<qqQ", *f) for f in best.values()], pa.binary()), "at": pa.array(list(best), pa.binary())}
+            out.append(pa.Table.from_batches([_record(FOUND, cols, len(best))]))
         if blocks.num_rows:
             h = np.frombuffer(b"".join(blocks.column("h").to_pylist()), "<u8")
             did = _stepped(blocks.column("did"))
@@ -260,8 +363,24 @@ def _places(blob, width=1) -> np.ndarray:
     return np.frombuffer(blob, "<u4").reshape(-1, width).astype(np.int64)
 
 
-def _passages(kind, length, k, buckets, homes, across):
-    """Task of step 2: the passages of kept anchors, equal ones once, by bucket; across: only other documents count."""
+class Hot:
+    """The most frequent passages, and by whom; the index of them that decide() makes is what is broadcast."""
+
+    def __init__(self, rows, make):
+        found = _hottest((r[24:], r[:24]) for r in rows)
+        texts = sorted(found, key=lambda t: (found[t][2], t))
+        self.anchors = np.unique(np.array([found[t][2] for t in texts], np.uint64))
+        self.judge = make(texts, np.array([found[t][1] for t in texts], np.int64), np.array([found[t][0] for t in texts])) if texts else None
+
+
+def _marked(least: np.ndarray, windows: np.ndarray, did: np.ndarray, across: bool):
+    """(place, first window, windows) of the repeated windows; least: for each place and window, by whom it is held elsewhere."""
+    bound = did[:, None] if across else NOWHERE
+    return windows_to_runs((least < bound) & (np.arange(least.shape[1]) < windows[:, None]))
+
+
+def _passages(kind, length, k, buckets, homes, across, hot):
+    """Task of step 2: the passages of kept anchors by bucket; those that the broadcast index decides whole are told at once."""
 
     def run(batches):
         held: list = []
@@ -276,28 +395,37 @@ def _passages(kind, length, k, buckets, homes, across):
             held, size = [], 0
             number: dict[bytes, int] = {}
             of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
-            order = np.lexsort((facts["did"], of))
-            bounds = _groups(of[order])
-            if across:  # a copy in a document behind the first goes as a whole; those of the first are asked for
-                first = np.repeat(facts["did"][order][bounds[:-1]], np.diff(bounds))
-                ask = facts["did"][order] == first
-                whole = order[~ask]
-                ask = order[ask]
-            else:  # two here: all go, and one stands for them
-                many = np.diff(bounds) > 1
-                whole = order[np.repeat(many, np.diff(bounds))]
-                ask = order[bounds[:-1]]
-                facts["known"][ask] = many
-            if len(whole):
-                f = facts[whole]
-                yield _reply(PASSAGE, homes, f["did"], f["start"], f["windows"], tag=f["tag"])
-            bucket = ((facts["h"][ask] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
-            ask = ask[np.argsort(bucket, kind="stable")]
-            bucket = np.sort(bucket, kind="stable")
+            bucket = ((facts["h"] >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
+            if hot is not None:
+                facts, of, bucket, told = settle(facts, of, bucket, list(number))
+                if told is not None:
+                    yield told
+            order = np.lexsort((facts["did"], of, facts["h"], bucket))
+            facts, of, bucket = facts[order], of[order], bucket[order]
             bounds = _groups(bucket)
+            facts["size"][1:][(of[1:] == of[:-1]) & (bucket[1:] == bucket[:-1])] = 0
+            names = list(number)
             pack = zstandard.ZstdCompressor(level=3).compress
-            joined = [pack(b"".join([texts[i] for i in ask[a:b].tolist()])) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield _record(PASSAGE, {"bucket": pa.array(bucket[bounds[:-1]]), "facts": pa.array([facts[ask[a:b]].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary()), "data": pa.array(joined, pa.binary())}, len(bounds) - 1)
+            blocks = list(zip(bounds[:-1].tolist(), bounds[1:].tolist())) if len(facts) else []
+            joined = [pack(b"".join([names[i] for i in of[a:b][facts["size"][a:b] > 0].tolist()])) for a, b in blocks]
+            yield _record(PASSAGE, {"bucket": pa.array([bucket[a] for a, _ in blocks], pa.int32()), "facts": pa.array([_packed(facts[a:b]) for a, b in blocks], pa.binary()), "data": pa.array(joined, pa.binary())}, len(blocks))
+
+        def settle(facts, of, bucket, names):
+            """What the broadcast index says of the passages with its anchors; those with an open window go on."""
+            warm = np.flatnonzero(np.isin(facts["h"], hot.value.anchors))
+            if not len(warm):
+                return facts, of, bucket, None
+            which, back = np.unique(of[warm], return_inverse=True)
+            least = hot.value.judge([names[i] for i in which.tolist()])[back]
+            place, first, count = _marked(least, facts["windows"][warm], facts["did"][warm], across)
+            f = facts[warm[place]]
+            told = _reply(PASSAGE, homes, f["did"], f["start"] + first, count, tag=f["tag"]) if len(place) else None
+            done = np.zeros(len(facts), bool)
+            done[warm[np.bincount(place, count, len(warm)) == facts["windows"][warm]]] = True
+            # one place of each passage stays, for what else holds its windows; across: the first document's
+            order = np.lexsort((facts["did"], of))
+            done[order[_groups(of[order])[:-1]]] = False
+            return facts[~done], of[~done], bucket[~done], told
 
         for ids, tags, at, texts in chunks(batches, ["doc_id", "tag", "at", "text"]):
             s = kind(texts)
@@ -322,58 +450,39 @@ def _passages(kind, length, k, buckets, homes, across):
 
 
 def _judge(decide, across, homes):
-    """Step 3 for a bucket: decide(passages, facts) gives the repeated windows of passages that share their anchor with others."""
+    """Step 3 for a bucket: decide(passages, anchors, owners, places) gives the least holder of each window of each different passage."""
 
     def run(table: pa.Table) -> pa.Table:
         told = table.filter(pa.compute.is_valid(table.column("home"))).select(list(SPAN))
         blocks = table.filter(pa.compute.is_null(table.column("home")))
-        out = [told]
+        out = [told.cast(pa.schema(list(SPAN.items())))]
         if blocks.num_rows:
-            facts = np.concatenate([np.frombuffer(b, FACTS) for b in blocks.column("facts").to_pylist()])
-            unpack = zstandard.ZstdDecompressor().decompress
-            data = b"".join(map(unpack, blocks.column("data").to_pylist()))
-            ends = np.cumsum(facts["size"].astype(np.int64))
-            texts = [data[b - n : b] for b, n in zip(ends.tolist(), facts["size"].tolist())]
+            facts = _unpacked(blocks.column("facts").to_pylist())
+            data = b"".join(map(zstandard.ZstdDecompressor().decompress, blocks.column("data").to_pylist()))
+            own = np.flatnonzero(facts["size"])
+            ends = np.cumsum(facts["size"][own].astype(np.int64))
             number: dict[bytes, int] = {}
-            of = np.fromiter((number.setdefault(t, len(number)) for t in texts), np.int64, len(texts))
+            of = np.fromiter((number.setdefault(data[b - n : b], len(number)) for b, n in zip(ends.tolist(), facts["size"][own].tolist())), np.int64, len(own))
+            del data
+            of = np.repeat(of, np.diff(np.append(own, len(facts))))
             order = np.lexsort((facts["did"], of))
             bounds = _groups(of[order])
-            lead = order[bounds[:-1]]  # of each different passage, the one of the first document
-            if across:
-                ask = facts["did"][order] == np.repeat(facts["did"][lead], np.diff(bounds))
-                whole, owners = order[~ask], order[ask]
-                weight = np.ones(len(lead), dtype=np.int64)
-            else:
-                weight = np.diff(bounds) + np.add.reduceat(facts["known"][order].astype(np.int64), bounds[:-1])
-                single = np.repeat(weight == 1, np.diff(bounds))
-                whole, owners = order[~single], order[single]
-                whole = whole[facts["known"][whole] == 0]
-            spans = [(whole, facts["start"][whole], facts["windows"][whole])]
-            # passages whose anchor has another passage beside them go to the index
-            h = facts["h"][lead]
-            turn = np.argsort(h, kind="stable")
-            edges = _groups(h[turn])
-            crowd = np.zeros(len(lead), dtype=bool)
-            crowd[turn] = np.repeat(np.diff(edges) > 1, np.diff(edges))
-            turn = turn[crowd[turn]]
-            if len(turn):
-                which, first, count = decide([texts[i] for i in lead[turn].tolist()], facts[lead[turn]], weight[turn])
-                trim()
-                # each owner of a passage gets the passage's windows
-                place = np.full(len(lead), -1)
-                place[turn] = np.arange(len(turn))
-                of_owner = place[of[owners]]
-                begin = np.searchsorted(which, np.arange(len(turn) + 1))
-                has = of_owner >= 0
-                own, at = owners[has], of_owner[has]
-                reps = begin[at + 1] - begin[at]
-                rows = np.repeat(begin[at] - np.cumsum(reps) + reps, reps) + np.arange(reps.sum())
-                own = np.repeat(own, reps)
-                spans.append((own, facts["start"][own] + first[rows], count[rows]))
-            who, start, count = (np.concatenate(x) for x in zip(*spans))
-            if len(who):
-                out.append(pa.Table.from_batches([_reply(SPAN, homes, facts["did"][who], start, count, tag=facts["tag"][who])]))
-        return pa.concat_tables([t.cast(pa.schema(list(SPAN.items()))) for t in out])
+            lead = order[bounds[:-1]]  # of each different passage, the place in the first document
+            places = np.diff(bounds)
+            turn = np.argsort(facts["h"][lead], kind="stable")
+            names = list(number)
+            least = decide([names[i] for i in turn.tolist()], facts["h"][lead[turn]], facts["did"][lead[turn]], places[turn])
+            del names, number
+            trim()
+            at = np.empty(len(lead), np.int64)
+            at[turn] = np.arange(len(turn))
+            for a in range(0, len(facts), 100_000):
+                some = facts[a : a + 100_000]
+                place, first, count = _marked(least[at[of[a : a + 100_000]]], some["windows"], some["did"], across)
+                if len(place):
+                    f = some[place]
+                    out.append(pa.Table.from_batches([_reply(SPAN, homes, f["did"], f["start"] + first, count, tag=f["tag"])]))
+        return pa.concat_tables(out)
 
     return run
 
@@ -396,28 +505,25 @@ def keep_mask(n: int, lists, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) == 0
 
 
-def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, across: bool) -> tuple[DataFrame, DataFrame]:
+def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, make, across: bool, broadcast: bool = True) -> tuple[DataFrame, DataFrame]:
     """The documents (doc_id, tag, id, text) and, for those with any, (doc_id, tag, at): blobs of (start, windows) pairs.
 
     doc_id is a key without nulls and tag a hash of the text: rows with equal ids and texts share their spans.
+    make(passages, owners, places) is the index of the most frequent passages, which is broadcast; without it all windows
+    are decided in step 3, with the same result.
     """
     spark = docs.sparkSession
     buckets, homes = 2 * parts(spark), parts(spark)
     texts = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
-
-    def found():
-        anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets, homes), _ddl(ANCHOR))
-        matched = anchors.groupBy("bucket").applyInArrow(_match(homes), _ddl(FOUND))
-        return cut(matched.groupBy("home").applyInArrow(_gather(1), "doc_id long, at binary"))
-
-    def spans(kept):
-        chosen = texts.select("doc_id", "tag", "text").join(kept, "doc_id").select("doc_id", "tag", "at", "text")
-        passages = chosen.mapInArrow(_passages(kind, length, k, buckets, homes, across), _ddl(PASSAGE))
-        judged = passages.groupBy("bucket").applyInArrow(_judge(decide, across, homes), _ddl(SPAN))
-        return cut(judged.groupBy("home").applyInArrow(_gather(2), "doc_id long, tag long, at binary"))
-
-    kept = found()
-    free(spark)
-    repeats = spans(kept)
-    free(spark)
-    return texts, repeats
+    anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets, homes), _ddl(ANCHOR))
+    matched = anchors.groupBy("bucket").applyInArrow(_match(homes), _ddl(FOUND))
+    kept = cut(matched.groupBy("home").applyInArrow(_gather(1), "doc_id long, at binary"))
+    hot = None
+    if broadcast:
+        rows = kept.filter("doc_id is null").limit(HOT_PASSAGES).collect()  # as many at most, of HOT_BYTES and 24 bytes each
+        found = Hot([bytes(r["at"]) for r in rows], make)
+        hot = spark.sparkContext.broadcast(found) if found.judge else None
+    chosen = texts.select("doc_id", "tag", "text").join(kept.filter("doc_id is not null"), "doc_id").select("doc_id", "tag", "at", "text")
+    passages = chosen.mapInArrow(_passages(kind, length, k, buckets, homes, across, hot), _ddl(PASSAGE))
+    judged = passages.groupBy("bucket").applyInArrow(_judge(decide, across, homes), _ddl(SPAN))
+    return texts, cut(judged.groupBy("home").applyInArrow(_gather(2), "doc_id long, tag long, at binary"))

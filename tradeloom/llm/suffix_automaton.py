@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, documents
-from .repeats import Words, keep_mask, repeated_windows, windows_to_runs
+from .repeats import NOWHERE, Words, keep_mask, repeated_windows, shards
 
 WINDOW = 35
 GRAM = 8
@@ -18,113 +18,140 @@ SHARD_WORDS = 150_000
 
 
 class SuffixAutomaton:
-    """A suffix automaton of several sequences, with the number of places (by weight) at which a state's strings end."""
+    """A suffix automaton of several sequences of numbers. `seen` marks the states whose strings of `most` symbols were met by a stream."""
 
-    def __init__(self):
+    def __init__(self, most: int):
+        self.most = most
         self.next: list[dict] = [{}]
-        self.link, self.length, self.ends = [-1], [0], [0]
-
-    def _state(self, length, link, moves):
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(moves)
-        self.ends.append(0)
-        return len(self.length) - 1
+        self.link, self.length, self.seen = [-1], [0], bytearray(1)
 
     def _split(self, p, q, symbol):
-        new = self._state(self.length[p] + 1, self.link[q], dict(self.next[q]))
-        self.link[q] = new
         moves, link = self.next, self.link
+        new = len(moves)
+        self.length.append(self.length[p] + 1)
+        link.append(link[q])
+        moves.append(moves[q].copy())
+        self.seen.append(self.seen[q])  # the string of `most` symbols may be in either state now
+        link[q] = new
         while p >= 0 and moves[p].get(symbol) == q:
             moves[p][symbol] = new
             p = link[p]
         return new
 
-    def add(self, symbols, weight: int = 1) -> None:
-        last, moves, link, length, ends = 0, self.next, self.link, self.length, self.ends
+    def add(self, symbols) -> None:
+        last, moves, link, length, seen = 0, self.next, self.link, self.length, self.seen
         for s in symbols:
             q = moves[last].get(s)
             if q is not None:
                 last = q if length[q] == length[last] + 1 else self._split(last, q, s)
-            else:
-                new = self._state(length[last] + 1, 0, {})
-                p = last
-                while p >= 0 and s not in moves[p]:
-                    moves[p][s] = new
-                    p = link[p]
-                if p >= 0:
-                    q = moves[p][s]
-                    link[new] = q if length[q] == length[p] + 1 else self._split(p, q, s)
-                last = new
-            ends[last] += weight
-
-    def close(self) -> None:
-        """Carry the counts of ends to the shorter suffixes; call once, after all sequences."""
-        length, link, ends = np.array(self.length), np.array(self.link), np.array(self.ends)
-        for n in np.unique(length)[::-1].tolist():
-            at = np.flatnonzero(length == n)
-            at = at[link[at] >= 0]
-            np.add.at(ends, link[at], ends[at])
-        self.ends = ends.tolist()
-
-    def stream(self, symbols, most: int):
-        """Matching statistics: at each symbol, the longest suffix so far (cut at `most`) that the sequences hold, and its places."""
+                continue
+            new = len(moves)
+            moves.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            seen.append(0)
+            p = last
+            while p >= 0 and s not in moves[p]:
+                moves[p][s] = new
+                p = link[p]
+            if p >= 0:
+                q = moves[p][s]
+                link[new] = q if length[q] == length[p] + 1 else self._split(p, q, s)
+            last = new
+
+    def stream(self, symbols):
+        """Matching statistics: (length, state) at each symbol, of the longest suffix so far, cut at `most`, that the sequences hold."""
         at = n = 0
-        moves, link, length, ends = self.next, self.link, self.length, self.ends
+        moves, link, length, most = self.next, self.link, self.length, self.most
+        out = []
         for s in symbols:
-            while at and s not in moves[at]:
+            to = moves[at].get(s)
+            while to is None and at:
                 at = link[at]
                 n = length[at]
-            if s in moves[at]:
-                at, n = moves[at][s], n + 1
-            else:
+                to = moves[at].get(s)
+            if to is None:
                 n = 0
-            while length[link[at]] >= most if at else False:
-                at = link[at]
-                n = min(n, length[at])
-            yield min(n, most), ends[at]
-
-
-def repeated(passages: list[bytes], facts, weight, length: int = WINDOW, shard: int = SHARD_WORDS):
-    """(passage, first window, windows) of windows with two places or more; passages of one anchor stand together.
-
-    They are cut into shards of whole anchors, of `shard` words or little more; each shard's automaton is dropped
-    before the next one is built. A passage streams against the automaton of its own shard, which holds all
-    passages in which its windows can occur.
+            else:
+                at, n = to, n + 1
+                if n > most:
+                    n = most
+                while at and length[link[at]] >= most:
+                    at = link[at]
+            out.append((n, at))
+        return out
+
+    def windows(self, symbols, mark: bool = False, seen: bool = False) -> list[int]:
+        """Where the windows of `most` symbols begin that the sequences hold (seen: and a stream has met); mark: they are met now."""
+        most, flags, out = self.most, self.seen, []
+        for end, (n, at) in enumerate(self.stream(symbols), 1):
+            if n >= most and (not seen or flags[at]):
+                out.append(end - most)
+                if mark:
+                    flags[at] = 1
+        return out
+
+
+def _numbers(passages: list[bytes], known: dict[bytes, int]) -> list[list[int]]:
+    return [[known.setdefault(w, len(known)) for w in p.split(b" ")] for p in passages]
+
+
+def held_elsewhere(passages: list[bytes], h, owners, places, length: int = WINDOW, shard: int = SHARD_WORDS) -> np.ndarray:
+    """For each passage and window, -1 if the window stands in another place too, else NOWHERE; passages of one anchor stand together.
+
+    A shard's automaton is built passage by passage. Each is first streamed against the automaton of those before it,
+    and once more if it has several places itself, as those hold it too; what reaches `length` is held elsewhere, and the
+    state remembers it. At the end the automaton is complete, and a second stream finds the windows' first places by those states.
     """
-    h, out, begin, words = facts["h"], [], 0, 0
-    for i in range(len(passages)):
-        words += int(facts["windows"][i]) + length - 1
-        if i + 1 < len(passages) and (words < shard or h[i + 1] == h[i]):
-            continue
-        automaton = SuffixAutomaton()
-        split = [p.split(b" ") for p in passages[begin : i + 1]]
-        for symbols, w in zip(split, weight[begin : i + 1].tolist()):
-            automaton.add(symbols, w)
-        automaton.close()
-        marks = np.zeros((len(split), max(map(len, split)) - length + 1), dtype=bool)
-        for row, (symbols, w) in enumerate(zip(split, weight[begin : i + 1].tolist())):
-            if w == 1:  # the others are repeated as a whole
-                for j, (n, places) in enumerate(automaton.stream(symbols, length)):
-                    if n >= length and places > 1:
-                        marks[row, j - length + 1] = True
-        row, first, count = windows_to_runs(marks)
-        out.append((row + begin, first, count))
-        begin, words = i + 1, 0
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", length: int = WINDOW, with_text=False) -> DataFrame:
+    known: dict[bytes, int] = {}
+    rows = _numbers(passages, known)
+    sizes = np.array([len(r) for r in rows])
+    out = np.full((len(rows), int(sizes.max()) - length + 1), NOWHERE)
+    for lo, hi, first, end in shards(h, sizes, shard):
+        automaton = SuffixAutomaton(length)
+        for i in range(lo, hi):
+            out[i, automaton.windows(rows[i], mark=True)] = -1
+            automaton.add(rows[i])
+            if places[i] > 1:
+                out[i, automaton.windows(rows[i], mark=True)] = -1
+        for i in range(first, end):
+            if not lo <= i < hi:  # one anchor of several shards
+                out[i, automaton.windows(rows[i], mark=True)] = -1
+        for i in range(lo, hi):
+            if places[i] == 1:
+                out[i, automaton.windows(rows[i], seen=True)] = -1
+    return out
+
+
+class _Frequent:
+    """The automaton that is broadcast: of passages with several places each, so all their windows are repeated."""
+
+    def __init__(self, passages, length):
+        self.known: dict[bytes, int] = {}
+        self.automaton = SuffixAutomaton(length)
+        for row in _numbers(passages, self.known):
+            self.automaton.add(row)
+
+    def __call__(self, passages: list[bytes]) -> np.ndarray:
+        rows = [[self.known.get(w, -1) for w in p.split(b" ")] for p in passages]
+        out = np.full((len(rows), max(map(len, rows)) - self.automaton.most + 1), NOWHERE)
+        for i, row in enumerate(rows):
+            out[i, self.automaton.windows(row)] = -1
+        return out
+
+
+def remove_repeats(docs: DataFrame, doc_id="doc_id", text="text", length: int = WINDOW, with_text=False, broadcast=True) -> DataFrame:
     """Every word covered by a window of `length` words that also starts elsewhere in the corpus is removed.
 
     doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by one space) for every document; with_text
     adds those words as kept. Words are split at ASCII white space and compared unchanged. Null and empty texts have no
     words; a text of any length is whole; repeated rows and rows with equal or null ids are different documents,
     so a whole repeated row of `length` words or more is removed in all its places. An empty table gives no row.
-    Windows are judged on the input, not on what is left.
+    Windows are judged on the input, not on what is left. The id -2**63 stands for null. broadcast: whether documents
+    stream against the broadcast automaton of the most frequent passages first; the rows are the same.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts, spans = repeated_windows(plain, Words, length, min(GRAM, length), lambda p, f, w: repeated(p, f, w, length), False)
+    texts, spans = repeated_windows(plain, Words, length, min(GRAM, length), lambda *x: held_elsewhere(*x, length), lambda passages, *_: _Frequent(passages, length), False, broadcast)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
 
     def finish(batches):

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, documents, shared_dir
+from .common import chunks, documents, new_folder
 from .tokens import word_ids
 
 # Fixed values of the seekable zstandard format.
@@ -201,7 +201,7 @@ def round_trip(docs: DataFrame, path: str, files: int | None = None, with_ids=Fa
     other by text, and null doc_ids come first. An empty table has no files and gives no row; other columns are not read.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "tokens")
     files = files or max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     return read_tokens(spark, folder, write_tokens(docs, folder, path, files, **options), with_ids)
 
