@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,10 @@ from .common import documents
 K = 128
 SHINGLE = 5
 LEAST = -(2**63)
+PREFIX = 24  # characters of a text that tell rows of one id apart where ranges are cut
+SAMPLES = 8  # rows sampled for each range
+RANGE_BYTES = 16_000_000
+MOST_RANGES = 1 << 16  # so that the cuts, some 60 bytes each, stay a small part of the plan
 
 
 def sketch(text: Column, k: int = K, size: int = SHINGLE) -> Column:
@@ -29,7 +35,7 @@ def sketch(text: Column, k: int = K, size: int = SHINGLE) -> Column:
 
     # a one-element transform holds the words' hashes once
     got = F.transform(F.array(hashes), shingles)[0]
-    return F.slice(F.array_sort(F.array_distinct(got)), 1, k)
+    return F.slice(F.sort_array(F.array_distinct(got)), 1, k)
 
 
 def text_of(sketched: Column) -> Column:
@@ -39,7 +45,7 @@ def text_of(sketched: Column) -> Column:
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
     """The sketch of the union of two sets of shingles."""
-    return F.slice(F.array_sort(F.array_union(a, b)), 1, k)
+    return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
 def shared(a: Column, b: Column, k: int = K) -> Column:
@@ -73,31 +79,55 @@ def merge_sketches(sketches: DataFrame, key: str, column: str = "sketch", k: int
     hashes = sketches.select(F.col(key), F.explode(column).alias("h")).distinct().withColumn("_salt", F.pmod(F.xxhash64("h"), F.lit(salts)))
     rank = F.row_number().over(Window.partitionBy(key, "_salt").orderBy("h"))
     few = hashes.withColumn("_r", rank).filter(F.col("_r") <= k)
-    return few.groupBy(key).agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias(column))
+    return few.groupBy(key).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias(column))
+
+
+def boundaries(base: DataFrame, ranges: int, rows: int) -> list[tuple]:
+    """Up to ranges - 1 ascending keys (doc_id, first PREFIX characters of the text) that cut the table into runs of about as many rows.
+
+    They come from a sample of SAMPLES rows a range, and only even out the ranges: whatever they are, each row is in one
+    range, by its order. Equal ids, null ones too, are cut by their texts' starts.
+    """
+    keys = base.select("doc_id", F.substring("text", 1, PREFIX).alias("start"))
+    share = SAMPLES * ranges / max(1, rows)
+    got = sorted(((r[0] is not None, r[0] or 0, r[1].encode()), r[0], r[1]) for r in (keys if share >= 1 else keys.sample(share, 7)).collect())
+    cuts = [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
+    return [(c[1], c[2]) for c, before in zip(cuts, [None, *cuts]) if before is None or c[0] != before[0]]
+
 
+def range_of(cuts: list[tuple]) -> Column:
+    """How many cuts are at or below the row's key, by halving; null ids come first."""
+    if not cuts:
+        return F.lit(0)
+    listed = F.from_json(F.lit(json.dumps([{"doc_id": i, "start": t} for i, t in cuts])), "array<struct<doc_id:bigint,start:string>>")
+    key = F.struct("doc_id", F.substring("text", 1, PREFIX).alias("start"))
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
 
-def with_next(docs: DataFrame, made, doc_id="doc_id", text="text", rows_in_bucket: int = 4000) -> DataFrame:
+    def step(at, by):
+        return F.when((at + by <= len(cuts)) & (F.get(listed, at + by - 1) <= key), at + by).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_next(docs: DataFrame, made, doc_id="doc_id", text="text", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, text, next_text, made and next_made: also of the next document by descending doc_id, of the first for the last one.
 
     made(text) is a column computed once for each document.
-    Documents are dealt to ranges of doc_id and each range is ordered for itself; only the first row of each range
-    goes on to the range before it. Null texts are empty, null ids come last, equal ids are ordered by text.
+    Documents are dealt to ranges of (doc_id, text) of about `range_bytes` and each range is ordered for itself; only the first row
+    of each range goes on to the range before it. Null texts are empty, null ids come last, equal ids are ordered by text.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = max(1, min(1024, base.count() // rows_in_bucket))
-    cuts = sorted({int(x) for x in base.select("doc_id").na.drop().approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
-
-    def tree(lo, hi):
-        if lo == hi:
-            return F.lit(len(cuts) - lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    dealt = base.withColumn("_in", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(tree(0, len(cuts))))
+    rows, size = base.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cuts = boundaries(base, max(1, min(MOST_RANGES, size // range_bytes)), rows)
+    dealt = base.withColumn("_in", range_of(cuts))
     order = Window.partitionBy("_in").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text").desc())
     own = dealt.withColumn("_next", F.lead("text").over(order)).withColumn("made", made(F.col("text"))).withColumn("_made", F.lead("made").over(order))
-    tops = dealt.groupBy("_in").agg(F.max_by("text", F.struct("doc_id", "text")).alias("_top"))
-    around = Window.orderBy("_in")  # one row for each range
+    # the first row of each range: its key from short columns, then the texts that have that key
+    start = F.substring("text", 1, PREFIX)
+    keys = dealt.groupBy("_in").agg(F.max(F.struct("doc_id", start.alias("start"))).alias("_key"))
+    first = dealt.join(F.broadcast(keys.withColumnRenamed("_in", "_of")), (F.col("_in") == F.col("_of")) & F.struct("doc_id", start.alias("start")).eqNullSafe(F.col("_key")))
+    tops = first.groupBy("_in").agg(F.max("text").alias("_top"))
+    around = Window.orderBy(F.col("_in").desc())  # one row for each range, MOST_RANGES at most
     tops = tops.withColumn("_after", F.coalesce(F.lead("_top").over(around), F.first("_top").over(around))).select("_in", "_after").withColumn("_after_made", made(F.col("_after")))
     return own.join(tops, "_in").select("doc_id", "text", "made", F.coalesce("_next", "_after").alias("next_text"), F.coalesce("_made", "_after_made").alias("next_made"))
 
