@@ -1,4 +1,8 @@
-"""Token-id files: independent zstandard frames, a trailing seek table, and a checksum of each frame."""
+"""Token-id files: independent zstandard frames, a trailing seek table, and a checksum of each frame.
+
+Before the seek table stands a skippable frame of our own: for each frame, in order, its documents, tokens, first and
+last doc_id. Documents are in ascending order, so it names the frames that can hold a document, and only those are decompressed.
+"""
 
 from __future__ import annotations
 
@@ -11,6 +15,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,9 @@ from .tokens import word_ids
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
 
+SKIPPABLE_INDEX = 0x184D2A5D
+INDEX_ROW = struct.Struct("<IQqq")
+
 END = 2
 VOCABULARY = "word_bpe_49k.json"
 FRAME_TOKENS = 1 << 18
@@ -35,14 +43,19 @@ def frame_bytes(doc_ids, flat_ids: np.ndarray, lengths) -> bytes:
 
 class FrameWriter:
     def __init__(self, out, level: int = 1):
-        self.out, self.level, self.table = out, level, []
+        self.out, self.level, self.table, self.index = out, level, [], []
 
     def frame(self, raw: bytes) -> None:
+        """A frame of frame_bytes()."""
         packed = zstandard.ZstdCompressor(level=self.level).compress(raw)
         self.table.append((len(packed), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+        (n,) = struct.unpack_from("<I", raw)
+        self.index.append(INDEX_ROW.pack(n, (len(raw) - 4) // 4 - 3 * n, *struct.unpack_from("<q", raw, 4), *struct.unpack_from("<q", raw, 8 * n - 4)))
         self.out.write(packed)
 
     def close(self) -> None:
+        rows = b"".join(self.index)
+        self.out.write(struct.pack("<II", SKIPPABLE_INDEX, len(rows)) + rows)
         body = b"".join(struct.pack("<III", *row) for row in self.table) + struct.pack("<IBI", len(self.table), 0x80, SEEKABLE)
         self.out.write(struct.pack("<II", SKIPPABLE, len(body)) + body)
 
@@ -60,12 +73,14 @@ class FrameReader:
         file.seek(end - 9 - 12 * n)
         self.table = list(struct.iter_unpack("<III", file.read(12 * n)))
         self.at = np.cumsum([0, *(row[0] for row in self.table)]).tolist()
+        self.read = 0  # frames decompressed so far
 
     def __len__(self):
         return len(self.table)
 
     def raw(self, k: int) -> bytes:
         packed, size, check = self.table[k]
+        self.read += 1
         self.file.seek(self.at[k])
         raw = zstandard.ZstdDecompressor().decompress(self.file.read(packed), max_output_size=max(size, 1))
         if len(raw) != size or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != check:
@@ -83,6 +98,30 @@ class FrameReader:
             yield (None if i == NULL_ID else i), part
 
 
+    def index(self) -> list[tuple[int, int, int, int]]:
+        """(documents, tokens, first, last doc_id) of each frame, from the frame before the seek table."""
+        self.file.seek(self.at[-1])
+        magic, size = struct.unpack("<II", self.file.read(8))
+        if magic != SKIPPABLE_INDEX or size != INDEX_ROW.size * len(self):
+            raise ValueError("no index of documents")
+        return list(INDEX_ROW.iter_unpack(self.file.read(size)))
+
+    def find(self, wanted):
+        """(doc_id, tokens of the file before it, ids) of the documents with the ids wanted (null too); decompresses only frames that can hold one."""
+        keys = np.unique(np.array([NULL_ID if i is None else i for i in wanted], dtype=np.int64))
+        before = 0
+        for k, (_, tokens, first, last) in enumerate(self.index()):
+            if np.searchsorted(keys, first) < np.searchsorted(keys, last, side="right"):
+                at = before
+                for i, ids in self.documents(k):
+                    key = NULL_ID if i is None else i
+                    spot = int(np.searchsorted(keys, key))
+                    if spot < len(keys) and keys[spot] == key:
+                        yield i, at, ids
+                    at += len(ids)
+            before += tokens
+
+
 def open_store(folder: str):
     """A file system and a path in it for a folder given as path or URI."""
     if "://" in folder or folder.startswith("file:"):
@@ -90,45 +129,25 @@ def open_store(folder: str):
     return pafs.LocalFileSystem(), folder
 
 
-def id_cuts(docs: DataFrame, n: int) -> list[int]:
-    """Up to n - 1 doc_ids that cut the table into runs of about as many rows."""
-    if n < 2:
-        return []
-    got = docs.select("doc_id").na.drop().approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))
-    return sorted({int(x) for x in got})
-
-
-def bucket_of(cuts: list[int], col):
-    """How many cuts are at or below the value, by a tree of comparisons; null comes first."""
-    if not cuts:
-        return F.lit(0)
-
-    def tree(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(col < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return F.when(col.isNull(), F.lit(0)).otherwise(tree(0, len(cuts)))
+def write_tokens(docs: DataFrame, folder: str, path: str, files: int, doc_id="doc_id", text="text", end: int = END, frame_tokens: int = FRAME_TOKENS) -> list[tuple]:
+    """Write all documents in ascending doc_id order; (number, path, documents, tokens, first, last doc_id) of each file, in order.
 
-
-def write_tokens(docs: DataFrame, folder: str, path: str, files: int, doc_id="doc_id", text="text", end: int = END, frame_tokens: int = FRAME_TOKENS) -> list[tuple[int, str, int, int]]:
-    """Write all documents in ascending doc_id order; (file number, path, documents, tokens) of each file, in order.
-
-    Documents go to files by ranges of doc_id, and within a file by (doc_id, text); null doc_ids come first. A file
+    Documents go to files by ranges of (doc_id, start of the text), so equal ids may be in several files, and within a
+    file by (doc_id, text); null doc_ids come first, as NULL_ID, which a real id of that value can't be told from. A file
     is written under a name of its own attempt and becomes part of the result only by the row its task returns, so
     a task that runs again does no harm. The driver gets one row for each file.
     """
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    cuts = id_cuts(base, files)
-    dealt = base.withColumn("_file", bucket_of(cuts, F.col("doc_id"))).repartition(len(cuts) + 1, "_file")
-    ordered = dealt.sortWithinPartitions("_file", "doc_id", "text")
+    order = F.coalesce("doc_id", F.lit(NULL_ID).cast("long"))  # Spark samples these keys for the ranges: an id and a few characters a row
+    ordered = base.repartitionByRange(files, order, F.substring("text", 1, 24)).sortWithinPartitions(order, "text")
 
     def run(batches):
         words, done = word_ids(path), []
         store, root = open_store(folder)
         tail = np.array([end], dtype="<u4")
-        now = out = writer = None
+        number = TaskContext.get().partitionId()  # ranges are in order
+        name = f"{root}/tokens-{number:06d}-{uuid.uuid4().hex}.zst"
+        out = writer = first = last = None
         held: list = []
         n_held = docs_in = tokens_in = 0
 
@@ -138,21 +157,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int, doc_id="do
                 writer.frame(frame_bytes([h[0] for h in held], np.concatenate([h[1] for h in held]), [len(h[1]) for h in held]))
             held, n_held = [], 0
 
-        def finish():
-            if writer is not None:
-                flush()
-                writer.close()
-                out.close()
-                done.append((now, name, docs_in, tokens_in))
-
-        for numbers, ids, texts in chunks(batches, ["_file", "doc_id", "text"]):
-            for f, i, got in zip(numbers, ids, words.batch(texts)):
-                if f != now:
-                    finish()
-                    now, docs_in, tokens_in = f, 0, 0
-                    name = f"{root}/tokens-{f:06d}-{uuid.uuid4().hex}.zst"
-                    out = store.open_output_stream(name, compression=None)
-                    writer = FrameWriter(out)
+        for ids, texts in chunks(batches, ["doc_id", "text"]):
+            if writer is None:
+                out = store.open_output_stream(name, compression=None)
+                writer, first = FrameWriter(out), ids[0]
+            last = ids[-1]
+            for i, got in zip(ids, words.batch(texts)):
                 got = np.concatenate([got, tail])
                 held.append((i, got))
                 n_held += len(got)
@@ -160,17 +170,22 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int, doc_id="do
                 tokens_in += len(got)
                 if n_held >= frame_tokens:
                     flush()
-        finish()
-        cols = list(zip(*done)) or [(), (), (), ()]
-        types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "path", "docs", "tokens"])
+        if writer is not None:
+            flush()
+            writer.close()
+            out.close()
+            done = [(number, name, docs_in, tokens_in, first, last)]
+        cols = list(zip(*done)) or [()] * 6
+        types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "path", "docs", "tokens", "first", "last"])
 
     store, root = open_store(folder)
     store.create_dir(root, recursive=True)
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, "file int, path string, docs long, tokens long").collect())
+    rows = ordered.mapInArrow(run, "file int, path string, docs long, tokens long, first long, last long").collect()
+    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
 
 
-def read_tokens(spark, folder: str, manifest: list[tuple[int, str, int, int]], with_ids=False) -> DataFrame:
+def read_tokens(spark, folder: str, manifest: list[tuple], with_ids=False) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, from the files; a task reads a file, frame by frame."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     starts = np.cumsum([0, *(m[3] for m in manifest)]).tolist()
@@ -194,6 +209,35 @@ def read_tokens(spark, folder: str, manifest: list[tuple[int, str, int, int]], w
     return listed.repartitionByRange(max(1, len(rows)), "start").mapInArrow(run, schema)
 
 
+def read_documents(spark, folder: str, manifest: list[tuple], wanted: DataFrame, doc_id="doc_id") -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids of the documents whose doc_id is in `wanted` (null ones by a null there).
+
+    Requests go to the files whose range of doc_ids holds them, a task opens a file and decompresses only the frames
+    that can hold one; frames_read is how many of frames that were. Equal requests are one; ids that no
+    document has give no row, and rows of equal doc_ids are all found.
+    """
+    starts = np.cumsum([0, *(m[3] for m in manifest)]).tolist()
+    files = spark.createDataFrame([(m[1], s, NULL_ID if m[4] is None else m[4], NULL_ID if m[5] is None else m[5]) for m, s in zip(manifest, starts)], "path string, start long, first long, last long")
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID).cast("long"))
+    asked = wanted.select(key.alias("doc_id")).distinct()
+    dealt = asked.join(F.broadcast(files), (F.col("doc_id") >= F.col("first")) & (F.col("doc_id") <= F.col("last")))  # a row for each file of the manifest
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>, frames_read int, frames int"
+
+    def run(table: pa.Table) -> pa.Table:
+        store, _ = open_store(folder)
+        start, out = table.column("start")[0].as_py(), []
+        with store.open_input_file(table.column("path")[0].as_py()) as file:
+            reader = FrameReader(file)
+            for i, at, ids in reader.find(table.column("doc_id").to_pylist()):
+                out.append((i, start + at, len(ids), zlib.crc32(ids.tobytes()), ids.tolist()))
+            many = (reader.read, len(reader))
+        cols = list(zip(*out)) or [()] * 5
+        types = [pa.int64()] * 4 + [pa.list_(pa.int32())] + [pa.int32()] * 2
+        return pa.table([pa.array(c, t) for c, t in zip([*cols, *([x] * len(out) for x in many)], types)], names=[f.split()[0] for f in schema.split(", ")])
+
+    return dealt.groupBy("path").applyInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, path: str, files: int | None = None, with_ids=False, **options) -> DataFrame:
     """write_tokens() into the shared folder, then read_tokens().
 
