@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import chunks, cut, documents
@@ -14,6 +14,7 @@ SHINGLE = 3
 DISTANCE = 2
 SEED = 42
 BUCKET = 32  # fingerprints in a bucket up to which its pairs are compared
+FOREST_NODES = 1_000_000  # that a task holds before it hands on what it has joined
 
 
 def simhash(text: str | None, size: int = SHINGLE) -> int:
@@ -57,7 +58,8 @@ def _segments(fp, ball: bool):
 
 
 def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) that connect every two different fingerprints at 2 bits or fewer, and no others.
+    """Links (a, b) that connect every two different fingerprints at 2 bits or fewer, and no others. The method's tables
+    serve buckets of up to `bucket` fingerprints; larger ones take another way that is as exact.
 
     Two such fingerprints differ by one bit at most in one half. So each half is a table; every fingerprint probes
     it with the 33 values of the ball around its own half, and a match is a link if the whole distance holds.
@@ -93,13 +95,19 @@ def _forest(links: DataFrame) -> DataFrame:
                 up[x] = x = up[y]
             return x
 
+        def stars():
+            rows = [(root(x), x) for x in list(up) if root(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+
         for batch in batches:
             for a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 a, b = root(a), root(b)
                 if a != b:
                     up[max(a, b)] = min(a, b)
-        rows = [(root(x), x) for x in list(up) if root(x) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
+            if len(up) > FOREST_NODES:
+                yield stars()
+                up.clear()
+        yield stars()
 
     return links.select("a", "b").mapInArrow(run, "a long, b long")
 
@@ -119,8 +127,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("u"), "m")
         small = large.join(least, F.col("b") == F.col("u"))
         hooked = small.select(F.col("m").alias("a"), F.col("a").alias("b")).unionByName(small.select(F.col("m").alias("a"), "b"))
-        now = cut(hooked.filter(F.col("a") != F.col("b")).distinct())
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % (1 << 31)), F.sum(F.xxhash64("b", "a") % (1 << 31))).first()
+        seen = Observation()
+        sums = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 31)).alias("h"), F.sum(F.xxhash64("b", "a") % (1 << 31)).alias("g")
+        now = cut(hooked.filter(F.col("a") != F.col("b")).distinct().observe(seen, *sums))
+        mark = seen.get
         if mark == before:
             return now.select("b", "a")
         before = mark
@@ -150,14 +160,22 @@ def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", size: int = S
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def rows_of(docs: DataFrame, best: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
+    """The rows of docs that best (_id, _tag: a hash of the text) names, repeated ones once, with all columns of docs."""
+    mark = "_text"
+    while mark in docs.columns:
+        mark += "_"
+    tagged = docs.withColumn(mark, F.xxhash64(text))
+    kept = tagged.join(best, F.col(doc_id).cast("long").eqNullSafe(best["_id"]) & (F.col(mark) == best["_tag"]), "left_semi")
+    return kept.dropDuplicates([doc_id, mark]).drop(mark)
+
+
 def first_of_each(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE) -> DataFrame:
     """The rows of docs that stand for their class: one of each, with the least doc_id, a null one only if there is no other."""
     found = classes(docs, doc_id, text, size)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag")
     first = found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first.tag").alias("_tag"))
-    tagged = docs.withColumn("_text", F.xxhash64(text))
-    kept = tagged.join(first, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_tag")), "left_semi")
-    return kept.dropDuplicates([doc_id, "_text"]).drop("_text")
+    return rows_of(docs, first, doc_id, text)
 
 
 def op3_multi_index(spark, sf_dir) -> DataFrame:
