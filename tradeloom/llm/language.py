@@ -14,6 +14,7 @@ from .common import chunks, documents, trim
 DIMENSIONS = 1024
 UNDETERMINED = "und"
 TRAIN_ROWS = 50_000
+REJECT_BELOW = 0.12  # cosines of random letters stay below 0.1 nearly always: their deviation is 1 / sqrt(DIMENSIONS) = 0.03
 
 
 def letter_vector(code: int, dimensions: int) -> np.ndarray:
@@ -123,7 +124,8 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], doc_id="doc_id",
     """The columns of docs with lang_pred and score, the cosine of the document's bundle and the nearest prototype (0 to 1).
 
     A null text, or one without a letter, is `und` with score 0, and so is every text when no language was learned.
-    Equal scores go to the first language by name. Any column but the text passes through unread.
+    Equal scores go to the first language by name. Any column but the text passes through unread, but a column of docs that
+    is itself named lang_pred or score is replaced.
     """
     names = sorted(prototypes)
     protos = np.array([prototypes[n] / max(np.linalg.norm(prototypes[n]), 1e-12) for n in names], dtype=np.float32).reshape(len(names), dimensions)
