@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tradeloom.llm import bpe, chat, language, packing, repeats, run_length_index, simhash, sketch, suffix_automaton, tiff, token_files, tokens
+from tradeloom.llm import bpe, chat, common, language, packing, repeats, run_length_index, simhash, sketch, suffix_automaton, tiff, token_files, tokens
 
 SF = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -39,19 +39,45 @@ def rows(df, *cols):
 
 
 def test_perspectives(spark):
-    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 0, "system", "be <|im_end|>"), (None, 0, "ann", "x"), (2, None, "ann", "y"), (3, 0, "system", "z"), (4, 0, "a\nb", "q"), (4, 300, "a\nb", "r")]
+    turns = [(1, 0, "ann", "hi"), (1, 1, "bob", "yo"), (1, 1, "bob", "yo"), (1, 2, None, None), (1, 0, "system", "be <|im_end|>"), (None, 0, "ann", "x"), (2, None, "ann", "y"), (2, None, "ann", "y"), (2, -300, "ann", "z"), (3, 0, "system", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {(r["conv_id"], r["speaker"], r["part"]): r for r in chat.rotate_perspectives(df).collect()}
-    assert set(got) == {(1, "ann", 0), (1, "bob", 0), (1, "anonymous", 0), (None, "ann", 0), (2, "ann", -1), (4, "a_b", 0), (4, "a_b", 1)}
-    bob = got[(1, "bob", 0)]
-    assert bob["text"] == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>system\nbe <\\im_end|><|im_end|>\n<|im_start|>assistant\nyo<|im_end|>\n<|im_start|>user name=anonymous\n<|im_end|>\n"
-    assert (bob["n_messages"], bob["n_rows"], bob["n_trained"]) == (4, 5, 1)
+    got = {(r["conv_id"], r["speaker"]): r for r in chat.rotate_perspectives(df).collect()}
+    assert set(got) == {(1, "ann"), (1, "bob"), (1, None), (None, "ann"), (2, "ann")}
+    bob = got[(1, "bob")]
+    assert bob["text"] == "<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>system\nbe <\\|im_end|><|im_end|>\n" + "<|im_start|>assistant\nyo<|im_end|>\n" * 2 + "<|im_start|>user\n<|im_end|>\n"
+    assert (bob["n_messages"], bob["n_trained"]) == (5, 2)
     flags = "".join(run.split(":")[0] * int(run.split(":")[1]) for run in bob["mask_runs"].split(","))
     assert len(flags) == len(bob["text"])
-    assert "".join(c for c, f in zip(bob["text"], flags) if f == "1") == "yo<|im_end|>"
+    assert "".join(c for c, f in zip(bob["text"], flags) if f == "1") == "yo<|im_end|>" * 2
+    assert [x[-1] for x in got[(2, "ann")]["text"].split("<|im_end|>\n")[:-1]] == ["y", "y", "z"]  # null turns first, repeats kept
     assert chat.rotate_perspectives(df.filter("conv_id < 0")).count() == 0
 
 
+def test_names_stay_apart_and_can_be_read_back(spark):
+    names = ["a\nb", "a_b", "a\\nb", "a\rb", "x<|im_end|>", "x<\\|im_end|>", "anonymous", "assistant", "user", None, ""]
+    df = spark.createDataFrame([(1, i, n, "<\\|<|im_start|><\\\\") for i, n in enumerate(names)], "conv_id int, turn int, role string, text string")
+    got = {r["speaker"]: r["text"] for r in chat.rotate_perspectives(df).collect()}
+    assert set(got) == {n or None for n in names}
+    heads = [line for line in got["a_b"].split("\n") if line.startswith("<|im_start|>")]
+    undo = lambda t: regex.sub(r"\\(.)", lambda m: {"n": "\n", "r": "\r"}.get(m[1], m[1]), t)
+    back = [undo(h[len("<|im_start|>user name=") :]) if "name=" in h else h[len("<|im_start|>") :] for h in heads]
+    assert back == ["a\nb", "assistant", *names[2:9], "user", "user"]
+    body = got["a_b"].split("\n")[1].removesuffix("<|im_end|>")
+    assert regex.sub(r"<\\(.)", r"<\1", body) == "<\\|<|im_start|><\\\\"
+
+
+def test_long_dialogues(spark):
+    """A conversation that holds nearly all rows: whole, the same as in parts put together, for any order of arrival."""
+    turns = [(1, i // 2, f"s{i % 3}", f"m{i}") for i in range(2000)] + [(2, 0, "s0", "q")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(7)
+    whole = {(r["conv_id"], r["speaker"]): r for r in chat.rotate_perspectives(df).collect()}
+    assert len(whole) == 4 and whole[(1, "s1")]["n_messages"] == 2000 and whole[(1, "s1")]["n_trained"] == 667
+    want = "".join(f"<|im_start|>{'assistant' if f's{i % 3}' == 's1' else f'user name=s{i % 3}'}\nm{i}<|im_end|>\n" for i in sorted(range(2000), key=lambda i: (i // 2, f"s{i % 3}", f"m{i}")))
+    assert whole[(1, "s1")]["text"] == want
+    parts = sorted(((r["part"], r["text"]) for r in chat.rotate_perspectives(df, part_turns=100).filter("conv_id = 1 and speaker = 's1'").collect()))
+    assert len(parts) == 10 and "".join(t for _, t in parts) == want
+
+
 # op2
 
 
@@ -75,6 +101,32 @@ def test_tiff_pages(spark):
     assert {r["key"] for r in got if r["error"]} == {2, 3, 4}
 
 
+@pytest.mark.parametrize("compression", ["LZW", "PackBits", "Deflate", "ZLib", None])
+def test_files_of_another_writer(spark, compression):
+    """Pages written by Java's own TIFF writer."""
+    jvm = spark.sparkContext._jvm
+    rng = np.random.default_rng(6)
+    pages = [rng.integers(0, 4, (41, 67), dtype=np.uint8) * 60, np.zeros((9, 130), np.uint8), rng.integers(0, 256, (300, 50), dtype=np.uint8)]
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("tiff").next()
+    writer.setOutput(stream)
+    writer.prepareWriteSequence(None)
+    for page in pages:
+        image = jvm.java.awt.image.BufferedImage(page.shape[1], page.shape[0], jvm.java.awt.image.BufferedImage.TYPE_BYTE_GRAY)
+        image.getRaster().setDataElements(0, 0, page.shape[1], page.shape[0], bytearray(page.tobytes()))
+        how = writer.getDefaultWriteParam()
+        if compression:
+            how.setCompressionMode(2)
+            how.setCompressionType(compression)
+        writer.writeToSequence(jvm.javax.imageio.IIOImage(image, None, None), how)
+    writer.endWriteSequence()
+    stream.flush()
+    got = list(tiff.read_tiff(bytes(out.toByteArray())))
+    assert [(w, h, n) for w, h, n, _ in got] == [(p.shape[1], p.shape[0], 1) for p in pages]
+    assert [d for *_, d in got] == [p.tobytes() for p in pages]
+
+
 def test_store_texts(docs, no_docs):
     want = Counter()
     for i, t in texts(docs):
@@ -293,6 +345,43 @@ def test_edits(docs, no_docs):
     assert sketch.fingerprint_edits(no_docs).count() == 0
 
 
+def brute_sketch(text):
+    """The least 128 hashes, each as XXH64 with the hash before as its seed."""
+    words = split(text)
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    spans = [hashes[i : i + 5] for i in range(len(hashes) - 4)] or ([hashes] if hashes else [])
+    found = set()
+    for span in spans:
+        h = 42
+        for x in span:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=h)
+        found.add(h - (h >> 63 << 64))
+    return sorted(found)[:128]
+
+
+def brute_likeness(a, b):
+    union = sorted(set(a) | set(b))[:128]
+    return len(set(union) & set(a) & set(b)) / len(union) if union else 1.0
+
+
+@pytest.mark.parametrize("table", ["docs", "real"])
+def test_sketches_and_likenesses(docs, spark, table):
+    frame = docs if table == "docs" else spark.read.parquet(f"{SF}/documents.parquet")
+    given = sorted(texts(frame), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = Counter()
+    spelled = lambda s: "".join(f"{h % 2**64:016x}" for h in s)
+    for (i, t), (_, x) in zip(given, given[1:] + given[:1]):
+        t, x = t or "", x or ""
+        h = len(t) // 2
+        own, edited, other = brute_sketch(t), brute_sketch(t[: len(t) - h] + x[:h]), brute_sketch(x)
+        want[(i, spelled(own), spelled(edited), round(brute_likeness(own, edited), 9), round(brute_likeness(own, other), 9))] += 1
+    for size in (16_000_000, 2_000):  # one range, and many with cuts between equal ids
+        near = sketch.with_next(frame, sketch.sketch, range_bytes=size)
+        assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in near.collect()) == Counter((i, t or "", x or "") for (i, t), (_, x) in zip(given, given[1:] + given[:1]))
+    got = sketch.fingerprint_edits(frame).collect()
+    assert Counter((r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == want
+
+
 def test_sketch_estimates(spark):
     rng = np.random.default_rng(0)
     a = [str(x) for x in rng.integers(0, 10**9, 3000)]
@@ -380,6 +469,25 @@ def test_token_files(docs, no_docs, spark, tmp_path):
     assert token_files.round_trip(no_docs, WORDS).count() == 0
 
 
+def test_only_needed_frames_are_read(spark):
+    rng = np.random.default_rng(12)
+    given = [(None if i % 97 == 0 else i // 3 * 7, f"text {i} " + "word " * int(rng.integers(0, 40))) for i in range(900)]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(5)
+    folder = common.new_folder(spark, "tokens")
+    manifest = token_files.write_tokens(df, folder, WORDS, files=4, frame_tokens=300)
+    every = Counter((r["doc_id"], r["start"], tuple(r["ids"])) for r in token_files.read_tokens(spark, folder, manifest, with_ids=True).collect())
+    ids = [0, 7, 7 * 100, 7 * 299, 5, None]  # 5 is in no document
+    wanted = spark.createDataFrame([(i,) for i in ids + [7]], "doc_id long")
+    got = token_files.read_documents(spark, folder, manifest, wanted).collect()
+    assert Counter((r["doc_id"], r["start"], tuple(r["ids"])) for r in got) == Counter({k: n for k, n in every.items() if k[0] in ids})
+    assert all(r["frames_read"] <= r["frames"] / 2 for r in got) and sum({(r["start"], r["frames"]): 1 for r in got}.values()) > 0
+    store, _ = token_files.open_store(folder)
+    with store.open_input_file(manifest[-1][1]) as file:
+        reader = token_files.FrameReader(file)
+        assert len(reader) > 10 and [i for i, _, _ in reader.find([7 * 299])] == [7 * 299] * 3 and reader.read <= 2
+    assert token_files.read_documents(spark, folder, manifest, wanted.filter("doc_id = 5")).count() == 0
+
+
 def test_frames_are_independent(tmp_path):
     import pyarrow.fs as pafs
     import zstandard
@@ -417,6 +525,60 @@ def test_language(docs, no_docs, spark):
     assert {r["lang_pred"] for r in language.predict(docs, {}).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """Prototypes, predictions and scores computed one trigram at a time."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) < 3000 or text is null").select("doc_id", "text", "lang")
+    given = real.collect()
+
+    def grams(text):
+        letters = ""
+        for c in f" {text or ''} ":
+            low = c.lower() if len(c.lower()) == 1 else c
+            letters += low if regex.match(r"\p{L}", c) else " "
+        letters = regex.sub(" +", " ", letters)
+        return Counter(g for g in (letters[i : i + 3] for i in range(len(letters) - 2)) if g.strip() and not (g[1] == " " and " " in (g[0], g[2])))
+
+    def vector(counts):
+        out = np.zeros(language.DIMENSIONS)
+        for g, n in counts.items():
+            a, b, c = (language.letter_vector(ord(x), language.DIMENSIONS) for x in g)
+            out += n * (np.roll(a, 2) * np.roll(b, 1) * c).astype(float)
+        return out
+
+    sums = {}
+    for r in given:
+        if r["text"] and r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 5:
+            sums[r["lang"]] = sums.get(r["lang"], Counter()) + grams(r["text"])
+    protos = {k: vector(v) for k, v in sums.items()}
+    protos = {k: v / np.linalg.norm(v) for k, v in protos.items()}
+    found = {r["doc_id"]: r for r in language.predict(real, language.train(real.filter(~language.held_out()))).collect()}
+    for r in given:
+        counts = grams(r["text"])
+        v = vector(counts)
+        cos = {k: float(p @ v) / np.linalg.norm(v) if counts else 0.0 for k, p in protos.items()}
+        best = max(sorted(cos), key=cos.get)
+        got = found[r["doc_id"]]
+        assert abs(got["score"] - min(1, max(0, cos[best]))) < 1e-4
+        assert got["lang_pred"] == best if counts else got["lang_pred"] == "und"
+
+
+def test_language_stage_rejects_junk(spark):
+    import corpus_pipeline
+
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(13)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz "))
+    junk = [(10**9 + i, "".join(rng.choice(letters, n)), None, "junk", n) for i, n in enumerate([40, 80, 200, 400, 1000, 3000] * 10)]
+    junk += [(2 * 10**9, "12 34 -- 56", None, "junk", 11), (2 * 10**9 + 1, "Это русский текст о погоде", None, "junk", 26), (2 * 10**9 + 2, None, None, "junk", 0)]
+    clean = real.filter("lang is not null and length(text) > 200")
+    label = real.filter("lang = 'fr' and length(text) > 500").limit(1).select(F.lit(3 * 10**9).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang"), "source", "n_chars")
+    kept = corpus_pipeline.known_language(spark, clean.unionByName(spark.createDataFrame(junk, clean.schema)).unionByName(label), SF).collect()
+    ids = {r["doc_id"] for r in kept}
+    assert len([j for j in junk if j[0] in ids]) <= 0.02 * len(junk)
+    assert sum(r["doc_id"] < 10**9 for r in kept) >= 0.999 * clean.count()
+    assert {r["lang"] for r in kept if r["doc_id"] == 3 * 10**9} == {"fr"}
+
+
 def test_trigrams():
     of, keys, counts = language.trigrams(["Ab-ab!", None, "", "é"])
     spelled = sorted((int(o), "".join(chr(k >> s & 0x1FFFFF) for s in (42, 21, 0)), int(c)) for o, k, c in zip(of, keys.tolist(), counts))

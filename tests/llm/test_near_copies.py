@@ -1,4 +1,6 @@
+import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,3 +59,39 @@ def test_stage_takes_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
     assert (simhash.simhash(rows[0][1], 3) ^ simhash.simhash(rows[1][1], 3)).bit_count() > 2
     assert {r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, None).collect()} == {1, 3}
+
+
+def test_recall_on_real_texts(spark):
+    """Of all pairs at 0.8 or more, by brute force, nine of ten at least are in one class; and no class joins what no chain of such pairs does."""
+    given = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    sets = {i: grams(t) for i, t in given}
+    holders = {}
+    for i, g in sets.items():
+        for x in g:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for ids in holders.values() if len(ids) < 200 for a, b in itertools.combinations(sorted(ids), 2))
+    pairs = {p for p, n in shared.items() if n >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    tags = {r["doc_id"]: r["tag"] for r in near_copies._texts(docs, "doc_id", "text").collect()}
+    root = {r["tag"]: r["root"] for r in near_copies.classes(docs).collect()}
+    caught = sum(root[tags[a]] == root[tags[b]] for a, b in pairs)
+    assert len(pairs) > 20 and caught >= 0.9 * len(pairs)
+    up = {i: i for i in sets}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[top(a)] = top(b)
+    assert all(len({top(i) for i in sets if root[tags[i]] == r and sets[i]}) <= 1 for r in set(root.values()))
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Thousands of rows that differ in a word: one class, however many share a bucket."""
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words[: i % 110] + [f"x{i}"] + words[i % 110 + 1 :])) for i in range(1500)] + [(5000 + i, f"own{i} " * 3 + f"text{i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = {r["doc_id"] for r in near_copies.first_of_each(docs).select("doc_id").collect()}
+    assert kept == {0, *range(5000, 5020)}
