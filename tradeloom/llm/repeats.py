@@ -274,14 +274,14 @@ def _told_hot(found: dict, buckets: int) -> pa.RecordBatch:
     return _record(ANCHOR, {"bucket": bucket, "home": pa.array([HOT] * len(best), pa.int32()), "did": pa.array(facts, pa.binary()), "h": pa.array(best, pa.binary())}, len(best))
 
 
-def _hottest(rows) -> dict:
+def _hottest(rows, most: int = HOT_PASSAGES) -> dict:
     """Sums of the counts of (text, facts) rows; the most frequent texts."""
     found: dict = {}
     for t, f in rows:
         n, least, h = struct.unpack("<qqQ", f)
         m, other, _ = found.get(t, (0, NOWHERE, 0))
         found[t] = (n + m, min(least, other), h)
-    return {t: found[t] for t in sorted(found, key=lambda t: (-found[t][0], t))[:HOT_PASSAGES]}
+    return {t: found[t] for t in sorted(found, key=lambda t: (-found[t][0], t))[:most]}
 
 
 def _find(kind, length, k, buckets, homes):
@@ -329,8 +329,8 @@ def _find(kind, length, k, buckets, homes):
     return run
 
 
-def _match(homes):
-    """Step 1 for a bucket: documents and places of the anchors that occur twice."""
+def _match(homes, hot_share):
+    """Step 1 for a bucket: documents and places of the anchors that occur twice, and its hot_share most frequent passages."""
 
     def run(table: pa.Table) -> pa.Table:
         told = table.filter(pa.compute.greater_equal(table.column("home"), 0)).select(list(FOUND))
@@ -338,7 +338,7 @@ def _match(homes):
         blocks = table.filter(pa.compute.is_null(table.column("home")))
         out = [told]
         if hot.num_rows:
-            best = _hottest(zip(hot.column("h").to_pylist(), hot.column("did").to_pylist()))
+            best = _hottest(zip(hot.column("h").to_pylist(), hot.column("did").to_pylist()), hot_share)
             cols = {"home": pa.array([HOT] * len(best), pa.int32()), "did": pa.array([struct.pack("<qqQ", *f) for f in best.values()], pa.binary()), "at": pa.array(list(best), pa.binary())}
             out.append(pa.Table.from_batches([_record(FOUND, cols, len(best))]))
         if blocks.num_rows:
@@ -516,7 +516,7 @@ def repeated_windows(docs: DataFrame, kind, length: int, k: int, decide, make, a
     buckets, homes = 2 * parts(spark), parts(spark)
     texts = docs.withColumn("id", F.col("doc_id")).withColumn("doc_id", key_of()).withColumn("tag", F.xxhash64("text"))
     anchors = texts.select("doc_id", "text").mapInArrow(_find(kind, length, k, buckets, homes), _ddl(ANCHOR))
-    matched = anchors.groupBy("bucket").applyInArrow(_match(homes), _ddl(FOUND))
+    matched = anchors.groupBy("bucket").applyInArrow(_match(homes, max(8, 4 * HOT_PASSAGES // buckets)), _ddl(FOUND))
     kept = cut(matched.groupBy("home").applyInArrow(_gather(1), "doc_id long, at binary"))
     hot = None
     if broadcast:
