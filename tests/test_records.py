@@ -73,7 +73,7 @@ def test_cross_reference(spark):
     keys = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("c", 3), ("c", 4)], "key_value string, id int")
     got = {tuple(r) for r in relay.cross_reference(keys, spark.createDataFrame([(1,)], "id int")).collect()}
     assert got == {(1, 0), (2, 1), (3, 2)}
-    assert relay.related_types("order") == ["event", "goods", "tracking"]
+    assert relay.related_types("order") == ["goods", "tracking", "coupon", "event"]
 
 
 def test_assignment():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
 
@@ -25,6 +26,61 @@ def preclean(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"\n\s*\n+", "\n"))
 
 
+_TAG = re.compile(r"<([A-Za-z][A-Za-z0-9-]*)((?:\s+[^\s=<>/\"']+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+))?)*)\s*(/?)>")
+_ATTRIBUTE = re.compile(r"([^\s=<>/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
+
+
+def only_allowed(html: str | None) -> str:
+    """Tags with the attributes in KEPT_ATTRIBUTES only, their values in double quotes."""
+
+    def tag(m):
+        kept = ""
+        for name, *values in _ATTRIBUTE.findall(m[2]):
+            if name.lower() in KEPT_ATTRIBUTES:
+                value = next((v for v in values if v), "")
+                kept += f' {name}="{value}"' if any(values) else f" {name}"
+        return f"<{m[1]}{kept}{m[3]}>"
+
+    return _TAG.sub(tag, html or "")
+
+
+def table_headers(html: str | None) -> list[list[str]]:
+    """The header rows of the first table that has a thead: the texts of their cells."""
+    out, base, row = [], None, None
+    for indent, tag, _, text in page_lines(html):
+        if base is not None and indent <= base:
+            break
+        if tag == "thead" and base is None:
+            base = indent
+        elif base is not None and tag == "tr":
+            out.append([])
+            row = indent
+        elif out and indent > row:
+            if tag in ("th", "td"):
+                out[-1].append(text)
+            elif text and out[-1]:  # text of what stands in a cell
+                out[-1][-1] = f"{out[-1][-1]} {text}".strip()
+    return [r for r in out if r]
+
+
+def split_rows(html: str | None, parent: str, tag: str) -> list[list[tuple]]:
+    """The lines of each element of a tag below a parent tag, those that a rowspan covers in one; further spans in these don't count."""
+    lines = page_lines(html)
+    above = ancestors([r[0] for r in lines])
+    rows = [i for i, r in enumerate(lines) if r[1] == tag and above[i] >= 0 and lines[above[i]][1] == parent]
+    out, left = [], 0
+    for i in rows:
+        own = lines[i : block_end([r[0] for r in lines], i) + 1]
+        if left:
+            out[-1] += own
+            left -= 1
+            continue
+        out.append(own)
+        spans = [int(r[2]["rowspan"]) for r in own if r[2].get("rowspan", "").isdigit()]
+        left = max([1, *spans]) - 1
+    return out
+
+
 def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r"(?i)\shref\s*=\s*\"([^\"]*)\""), 1)
 

@@ -100,6 +100,22 @@ def merge_lists(a: list[dict], b: list[dict], key: str) -> list[dict]:
     return a + [x for x in b if x.get(key) not in seen]
 
 
+def merged_bands(bands: list[dict | None], keys: dict[str, str]) -> dict:
+    """What the bands of one image hold, as one payload: a later value wins unless it is null, empty or zero, objects are merged, and
+    lists joined without repeats by their key (keys: list name to the key of its records)."""
+    out: dict = {}
+    for band in bands:
+        for name, value in (band or {}).items():
+            old = out.get(name)
+            if isinstance(old, dict) and isinstance(value, dict):
+                out[name] = merged_bands([old, value], keys)
+            elif isinstance(old, list) and isinstance(value, list):
+                out[name] = merge_lists(old, value, keys[name]) if name in keys else old + [v for v in value if v not in old]
+            elif name not in out or value not in (None, "", 0):
+                out[name] = value
+    return out
+
+
 def deep_diff(a, b, path=""):
     """Paths at which two payloads differ."""
     if isinstance(a, dict) and isinstance(b, dict):

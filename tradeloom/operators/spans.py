@@ -36,6 +36,20 @@ def suppress(spans: list[dict]) -> list[dict]:
     return sorted(kept, key=lambda s: s["start"])
 
 
+def absorb(spans: list[dict]) -> list[dict]:
+    """suppress() with a memory: a span that loses its place leaves its category, and those it took itself, in `also` of the first winner it meets."""
+    kept = []
+    for s in sorted(spans, key=lambda s: (-s.get("priority", 0), -s["score"], -s["size"], s["start"])):
+        winner = next((k for k in kept if s["start"] < k["start"] + k["size"] and s["start"] + s["size"] > k["start"]), None)
+        if winner is None:
+            kept.append({**s, "also": list(s.get("also", []))})
+            continue
+        for category in [*s.get("also", []), s["category"]]:
+            if category != winner["category"] and category not in winner["also"]:
+                winner["also"].append(category)
+    return sorted(kept, key=lambda s: s["start"])
+
+
 def bridge(kept: list[dict], words: int) -> list[dict]:
     """Words between two kept spans go to the one before; words ahead of the first to the first."""
     out = [dict(s) for s in kept]

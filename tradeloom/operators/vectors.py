@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,8 +92,6 @@ def exclusive(matrix, absolute: float, margin: float, by_score: bool = False):
 
 def exclusive_by_document(cells: DataFrame, doc: str, field: str, line: str, score: str, absolute: float, margin: float, by_score=False) -> DataFrame:
     """exclusive() for the matrix of each document; a page's matrix is small by nature."""
-    import pandas as pd
-
     def run(pdf):
         fields, lines = sorted(pdf[field].unique()), sorted(pdf[line].unique())
         table = [[-1.0] * len(lines) for _ in fields]
@@ -151,3 +151,28 @@ def hashed_vector(text: Column, size: int = 64, gram: int = 3) -> Column:
     counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(grams, lambda g: g == k)).cast("double"))
     norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(counts, lambda x: F.when(norm == 0, 0.0).otherwise(x / norm))
+
+
+def chunked_vector(embed, words: int = 512):
+    """A function of a text column that gives its vector: embed(list of words) of every run of `words`, each at unit length, their mean at unit
+    length again. The model is loaded once a worker by what `embed` holds; equal texts of a batch are embedded once. A text without words has zeros."""
+
+    def unit(v):
+        n = float(np.linalg.norm(v))
+        return v / n if n else v
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        known: dict[str, list[float]] = {}
+        size = len(embed(["a"]))
+
+        def of(text):
+            if text not in known:
+                parts = (text or "").split()
+                chunks = [unit(np.asarray(embed(parts[i : i + words]), dtype=float)) for i in range(0, len(parts), words)]
+                known[text] = unit(np.mean(chunks, axis=0)).tolist() if chunks else [0.0] * size
+            return known[text]
+
+        return texts.map(of, na_action=None)
+
+    return run
