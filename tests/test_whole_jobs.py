@@ -21,7 +21,7 @@ def test_every_document_is_related(spark):
 
 
 def test_strides_of_the_operator(spark):
-    got = catalogue.lagged_self_similarity_whole(spark, SF)
+    got = catalogue.lagged_self_similarity(spark, SF)
     n = {r["label"]: r["count"] for r in spark.read.parquet(f"{SF}/embeddings.parquet").groupBy("label").count().collect()}
     assert {(r["label"], r["stride"]) for r in got.collect()} == {(k, s) for k in n if n[k] >= 20 for s in range(2, min(n[k] // 3, 40) + 1)}
 

@@ -293,3 +293,54 @@ def section_of(lines: DataFrame, key: str = "page_id") -> DataFrame:
     return lines.withColumn("section", F.last(heading, ignorenulls=True).over(above))
 
 
+def indent_tree(lines: DataFrame, doc: str, pos: str = "pos", indent: str = "indent") -> DataFrame:
+    """(doc, pos, parent, stop): the nearest line above with a smaller indent (-1 without one) and the last line of the block; a page is one array."""
+    kinds = dict(lines.dtypes)
+
+    def run(pdf):
+        pdf = pdf.sort_values(pos)
+        at, depths = pdf[pos].tolist(), pdf[indent].tolist()
+        above = ancestors(depths)
+        stop, open_ = [len(depths) - 1] * len(depths), []
+        for i, d in enumerate(depths):
+            while open_ and depths[open_[-1]] >= d:
+                stop[open_.pop()] = i - 1
+            open_.append(i)
+        return pd.DataFrame({doc: pdf[doc], pos: at, "parent": [at[a] if a >= 0 else -1 for a in above], "stop": [at[e] for e in stop]})
+
+    return lines.select(doc, pos, indent).groupBy(doc).applyInPandas(run, f"{doc} {kinds[doc]}, {pos} {kinds[pos]}, parent int, stop int")
+
+
+def column_cursor(cells: DataFrame, row: list[str], order: list[str], colspan: str = "colspan") -> DataFrame:
+    """Cells with `at`, the column that each begins in: the spans of the cells before it in its row."""
+    from pyspark.sql import Window
+
+    before = Window.partitionBy(*row).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("at", F.coalesce(F.sum(F.greatest(F.col(colspan), F.lit(1))).over(before), F.lit(0)).cast("int"))
+
+
+def _each_page(pages: DataFrame, key: str, html: str, schema: str, rows):
+    """rows(html) of every page, with its key."""
+    names = [key, *[f.split()[0] for f in schema.split(", ")]]
+    kind = dict(pages.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(k, *r) for k, h in zip(pdf[key], pdf[html]) for r in rows(h)], columns=names)
+
+    return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def html_pairs(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, label, value) of every page's forms and tables."""
+    return _each_page(pages, key, html, "label string, value string", label_value_pairs)
+
+
+def html_selects(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, name, options, selected) of every select."""
+    return _each_page(pages, key, html, "name string, options array<string>, selected string", select_groups)
+
+
+def html_repeats(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, selector, n) of the rows that repeat on a page, where there are any."""
+    return _each_page(pages, key, html, "selector string, n int", lambda h: [got] if (got := repeated_rows(h)) else [])

@@ -136,3 +136,25 @@ def gzipped(texts: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def gunzipped(data: pd.Series) -> pd.Series:
     return data.map(lambda b: gzip.decompress(b).decode() if b is not None else None)
+
+
+@F.pandas_udf(T.StringType())
+def unpacked(data: pd.Series) -> pd.Series:
+    """unpack() as JSON, its keys in order."""
+    return data.map(lambda v: json.dumps(unpack(v), sort_keys=True, ensure_ascii=False), na_action=None)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def differences(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Paths at which two JSON payloads differ; a broken one counts as empty."""
+    return pd.Series([deep_diff(unpack(x), unpack(y)) for x, y in zip(a, b)])
+
+
+def merged_by(a, b, key: str):
+    """The values of `key` in two JSON lists of records, those of the second behind what the first has."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([[r.get(key) for r in merge_lists(json.loads(p or "[]"), json.loads(q or "[]"), key)] for p, q in zip(x, y)])
+
+    return run(a, b)

@@ -113,6 +113,11 @@ def url_pattern(href: Column, ident: Column) -> tuple[Column, Column]:
     return F.when(found, F.substring(href, F.lit(1), start)), F.when(found, F.substring(href, start + F.length(ident) + 1, F.length(href)))
 
 
+def from_pattern(head: Column, tail: Column, ident: Column) -> Column:
+    """The link of another identifier by a learned pattern; null without one."""
+    return F.when((ident != "") & head.isNotNull(), F.concat(head, ident, F.coalesce(tail, F.lit(""))))
+
+
 # text and values
 
 
@@ -262,25 +267,29 @@ def relative_age(then_ms: Column, now_ms: Column) -> Column:
 def normalise_date(text: Column) -> Column:
     """An ISO string from epoch digits, ISO text, or the first numbers found; month and day are clamped, not checked."""
     t = F.trim(text)
-    n = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)"), 1), lambda x: F.substring(x, 1, 9).cast("int"))
-    at = lambda i, d: F.coalesce(F.get(n, F.lit(i)), F.lit(d))
-    swapped = F.get(n, F.lit(2)) > 31
-    year0 = F.when(swapped, at(2, 0)).otherwise(at(0, 0))
-    month = F.when(swapped, at(0, 1)).otherwise(at(1, 1))
-    day = F.when(swapped, at(1, 1)).otherwise(at(2, 1))
-    year = F.when(year0 < 50, year0 + 2000).when(year0 < 100, year0 + 1900).otherwise(year0)
     clamp = lambda c, a, b: F.least(F.greatest(c, F.lit(a)), F.lit(b))
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
-    made = F.concat(
-        F.lpad(year.cast("string"), 4, "0"), F.lit("-"), two(clamp(month, 1, 12)), F.lit("-"), two(clamp(day, 1, 31)), F.lit("T"),
-        two(clamp(at(3, 0), 0, 23)), F.lit(":"), two(clamp(at(4, 0), 0, 59)), F.lit(":"), two(clamp(at(5, 0), 0, 59)),
-    )
+
+    def made(n):
+        at = lambda i, d: F.coalesce(F.get(n, F.lit(i)), F.lit(d))
+        swapped = F.get(n, F.lit(2)) > 31
+        year0 = F.when(swapped, at(2, 0)).otherwise(at(0, 0))
+        month = F.when(swapped, at(0, 1)).otherwise(at(1, 1))
+        day = F.when(swapped, at(1, 1)).otherwise(at(2, 1))
+        year = F.when(year0 < 50, year0 + 2000).when(year0 < 100, year0 + 1900).otherwise(year0)
+        day_part = F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), two(clamp(month, 1, 12)), two(clamp(day, 1, 31)))
+        time_part = F.concat_ws(":", two(clamp(at(3, 0), 0, 23)), two(clamp(at(4, 0), 0, 59)), two(clamp(at(5, 0), 0, 59)))
+        return F.when(F.size(n) >= 3, F.concat(day_part, F.lit("T"), time_part))
+
+    # a one-element transform holds the numbers once
+    numbers = F.transform(F.regexp_extract_all(t, F.lit(r"(\d+)"), 1), lambda x: F.substring(x, 1, 9).cast("int"))
+    read = F.transform(F.array(numbers), made)[0]
     iso = lambda seconds: F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss")
     return (
         F.when(t.rlike("^[0-9]{10}$"), iso(t.cast("long")))
         .when(t.rlike("^[0-9]{13}$"), iso(F.floor(t.cast("long") / 1000)))
         .when(t.rlike(r"^\d{4}-\d{2}-\d{2}T"), t)
-        .when(F.size(n) >= 3, made)
+        .otherwise(read)
     )
 
 

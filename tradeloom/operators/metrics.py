@@ -66,11 +66,3 @@ def group_all_logs(events: DataFrame, keys: list[str], order: str, value: Column
     place = (F.col("_before") + F.col("_r") - 1).alias("_p")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("_p", "_v"))), lambda x: x["_v"])
     return placed.select(*keys, "n", "_v", place).withColumn("part", F.floor(F.col("_p") / size)).groupBy(*keys, "part", "n").agg(listed.alias("logs"))
-
-
-def group_logs(events: DataFrame, keys: list[str], order: Column, value: Column, most: int = 300) -> DataFrame:
-    """For each key, its first `most` logs in order, as a list."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    few = events.withColumn("_r", rank).withColumn("_v", value).filter(F.col("_r") <= most)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("_r", "_v"))), lambda x: x["_v"])
-    return few.groupBy(*keys).agg(F.count("*").alias("n"), listed.alias("logs"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 
@@ -35,7 +36,7 @@ def physical_column(name: str) -> str | None:
 
 
 def number_in(value) -> float | None:
-    """The digits and dots of a value as a number; None if there are none."""
+    """The digits and dots of a value as a number, without sign or exponent, as texts like "1,500 won" are meant; None if there are none."""
     if isinstance(value, bool):
         return float(value)
     if isinstance(value, (int, float)):
@@ -129,9 +130,42 @@ def limit_first(df: DataFrame, first: list[Column], limit: int, then: list[Colum
     return df.orderBy(*first).limit(limit).orderBy(*then)
 
 
+def discrete_percentile(df: DataFrame, column: str, p: float, most: int = 100_000):
+    """The least value whose share of rows at or below it is p or more, exactly; None without values.
+
+    Approximate percentiles narrow a range around it, in which rows are counted, until `most` different values are left;
+    only their counts come to the driver. No task sees more than a digest of its rows.
+    """
+    rows = df.select(F.col(column).alias("x")).filter(F.col("x").isNotNull())
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return None
+    rank = max(1, math.ceil(round(p * n, 9)))
+    before = 0  # rows below `low`
+    while True:
+        inside = rows.filter(F.col("x").between(low, high))
+        here, different = inside.agg(F.count("*"), F.approx_count_distinct("x", 0.05)).first()
+        if low == high or different <= most:
+            break
+        at = (rank - before) / here
+        bounds = [max(0.0, at - 0.01), min(1.0, at + 0.01)]
+        a, b = inside.agg(F.percentile_approx("x", bounds, 10_000)).first()[0]
+        below, upto = rows.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+        if not below < rank <= upto or (a, b) == (low, high):  # the digest was off, or no narrower than the range
+            break
+        low, high, before = a, b, below
+    counts = inside.groupBy("x").agg(F.count("*").alias("n")).orderBy("x")
+    total = before
+    for x, k in counts.toLocalIterator():
+        total += k
+        if total >= rank:
+            return x
+    return high
+
+
 def share(df: DataFrame, column: str, percent: float = 20.0, top: bool = True) -> DataFrame:
     """The rows at or beyond the exact discrete percentile: the dearest or the cheapest `percent` of them."""
-    p = 1 - percent / 100 if top else percent / 100
-    bound = df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})").alias("_bound"))
-    near = df.crossJoin(F.broadcast(bound))  # one row
-    return near.filter(F.col(column) >= F.col("_bound") if top else F.col(column) <= F.col("_bound")).drop("_bound")
+    bound = discrete_percentile(df, column, 1 - percent / 100 if top else percent / 100)
+    if bound is None:
+        return df.limit(0)
+    return df.filter(F.col(column) >= F.lit(bound) if top else F.col(column) <= F.lit(bound))

@@ -234,6 +234,11 @@ def drafts(wanted: DataFrame, key: str, stored: DataFrame, stored_key: str, kind
     return missing.select("index", F.lit(kind).alias("type"), F.lit(0).cast("long").alias("updated_at"))
 
 
+def present(rows: DataFrame, key: str, table: DataFrame, column: str) -> DataFrame:
+    """The rows whose key a record has: what a guard against a second draft asks."""
+    return rows.join(table.select(F.col(column).cast("string").alias("_key")), F.col(key).cast("string") == F.col("_key"), "left_semi")
+
+
 def cross_reference(keys: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, hop) of all records within two hops of the seeds; records are neighbours if a key value is equal.
 
@@ -249,18 +254,6 @@ def cross_reference(keys: DataFrame, seeds: DataFrame) -> DataFrame:
     return near
 
 
-def related_documents(pairs: DataFrame, of: DataFrame, limit: int = 10) -> DataFrame:
-    """For each of a few records: others that refer to it or to what it refers to, the first `limit` by id.
-
-    pairs: (id, ref). Two equi-joins and a union stand for the OR of the two conditions.
-    """
-    mine = of.select(F.col("id").alias("me"), F.col("ref").alias("my_ref"))
-    by_id = pairs.join(mine, pairs.ref == mine.me).select("me", "id")
-    by_ref = pairs.join(mine, pairs.ref == mine.my_ref).select("me", "id")
-    both = by_id.union(by_ref).filter(F.col("id") != F.col("me")).distinct()
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("me").orderBy("id"))).filter(F.col("rank") <= limit)
-
-
 def related_to_all(pairs: DataFrame, limit: int = 10, salts: int = 64) -> DataFrame:
     """For every record: the first `limit` others by id that refer to what it refers to; (me, id, rank).
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -86,6 +86,14 @@ def suppress_by(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in df.columns))
 
 
+def bridged_by(kept: DataFrame, lengths: DataFrame, key: str) -> DataFrame:
+    """bridge() for each query's kept spans: (key, start, size). lengths: key, words. A query without spans has none."""
+    order = Window.partitionBy(key).orderBy("start")
+    rows = kept.join(lengths, key).withColumns({"_next": F.lead("start").over(order), "_first": F.row_number().over(order) == 1})
+    begin = F.when(F.col("_first"), 0).otherwise(F.col("start"))
+    return rows.select(key, begin.alias("start"), (F.coalesce("_next", "words") - begin).alias("size"))
+
+
 def merge_contexts(contexts: list[dict]) -> dict:
     """The contexts of a question's segments as one: the best type, the first status, all conditions (the first of each property)."""
     out = {"type": None, "status": None, "condition": {}}

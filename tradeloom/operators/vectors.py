@@ -106,9 +106,15 @@ def exclusive_by_document(cells: DataFrame, doc: str, field: str, line: str, sco
 
 
 def softmax(df: DataFrame, by: list[str], score: str, temperature: float = 0.05) -> DataFrame:
-    w = Window.partitionBy(*by)
-    e = F.exp((F.col(score) - F.max(score).over(w)) / temperature)
-    return df.withColumn("_e", e).withColumn("probability", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    """Each score's share of its group's exponentials; two aggregations joined back, so that no task holds a whole group."""
+
+    def joined(rows, part, name):
+        keys = part.select(*[F.col(c).alias(f"_k{c}") for c in by], name)
+        return rows.join(keys, [F.col(c).eqNullSafe(F.col(f"_k{c}")) for c in by]).drop(*[f"_k{c}" for c in by])
+
+    rows = joined(df, df.groupBy(*by).agg(F.max(score).alias("_most")), "_most").withColumn("_e", F.exp((F.col(score) - F.col("_most")) / temperature))
+    rows = joined(rows, rows.groupBy(*by).agg(F.sum("_e").alias("_all")), "_all")
+    return rows.withColumn("probability", F.col("_e") / F.col("_all")).drop("_e", "_most", "_all")
 
 
 def decayed_top(df: DataFrame, by: list[str], score: str, key: str, k: int = 5) -> DataFrame:

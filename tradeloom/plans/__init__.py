@@ -1,3 +1,3 @@
 """The registered queries, each with its SQL where SQL can express it: catalogue.QUERIES and catalogue.SQL hold all of them."""
 
-from . import catalogue, classified, linked, records, searches, shapes  # noqa: F401
+from . import catalogue, classified, linked, records, searches, shapes, values  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import markup, payloads
 from ..functions import scalars as S
-from ..operators import metrics, predicate, relay, spans, store, vectors
+from ..operators import metrics, predicate, records, relay, spans, store, vectors
 from ..streaming import tasks
 
 QUERIES: dict = {}
@@ -39,7 +39,6 @@ def condition_filter_page(spark, sf_dir):
     return predicate.page(rows, [F.desc("o_orderdate"), F.asc("o_orderkey")], 50, 10)
 
 
-NOW = "2024-06-15 12:00:00"
 HASH = "'0x' || substr(sha256({0}), 1, 40)"
 
 
@@ -108,11 +107,16 @@ def amount_coalesce(spark, sf_dir):
     return rows.select("l_orderkey", "l_linenumber", S.first_present(payload, keys).alias("amount"))
 
 
-@query("SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END, TIMESTAMP '1992-01-01') AS created FROM orders")
+@query(
+    """SELECT o_orderkey, CASE o_orderkey % 8 WHEN 7 THEN 5 ELSE epoch_ms(o_orderdate) - CASE o_orderkey % 8 WHEN 6 THEN 32400000 ELSE 0 END END AS created FROM orders"""
+)
 def created_at_coalesce(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    given = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))
-    return o.select("o_orderkey", F.coalesce(F.try_to_timestamp(given, F.lit("yyyy-MM-dd'T'HH:mm:ss")), F.lit("1992-01-01").cast("timestamp")).cast("timestamp_ntz").alias("created"))
+    """The day of a record by the first of the eight date keys that it has: each in turn, with a zone, and an unreadable one."""
+    k = F.col("o_orderkey") % 8
+    text = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
+    named = [F.when(k == i, F.concat(text, F.lit("+09:00") if i == 6 else F.lit(""))).alias(name) for i, name in enumerate(records.DATE_KEYS[:7])]
+    data = F.to_json(F.struct(*named, F.when(k == 7, "some day").otherwise("1999-01-01T00:00:00").alias(records.DATE_KEYS[7])))
+    return table(spark, sf_dir, "orders").select("o_orderkey", records.created_of(records.parsed(data), F.lit(5).cast("long")).alias("created"))
 
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 9 WHEN 'O' THEN 1 ELSE 10 END AS code, CASE o_orderstatus WHEN 'F' THEN 'complete' WHEN 'O' THEN 'progress' ELSE 'draft' END AS word FROM orders")
@@ -162,23 +166,29 @@ def date_normalise(spark, sf_dir):
 
 
 @query(
-    """SELECT r_name, epoch_ms(TIMESTAMP '2024-06-15 00:00:00') - 32400000 AS today_from, epoch_ms(TIMESTAMP '2024-05-01 00:00:00') - 32400000 AS month_from,
-    epoch_ms(TIMESTAMP '2024-06-01 00:00:00') - 32400001 AS month_to FROM region"""
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 7 AS k, o_orderdate + INTERVAL 3 HOUR + INTERVAL 9 HOUR AS t FROM orders),
+    r AS (SELECT *, date_trunc('day', t) AS d, date_trunc('month', t) AS m, date_trunc('year', t) AS y FROM o)
+    SELECT o_orderkey, epoch_ms(CASE k WHEN 0 THEN d WHEN 1 THEN d - INTERVAL 1 DAY WHEN 2 THEN m WHEN 3 THEN m - INTERVAL 1 MONTH WHEN 4 THEN y WHEN 5 THEN y - INTERVAL 1 YEAR ELSE t - INTERVAL 7 DAY END) - 32400000 AS start,
+    epoch_ms(CASE k WHEN 1 THEN d WHEN 3 THEN m WHEN 5 THEN y ELSE t END) - 32400000 - CASE WHEN k IN (1, 3, 5) THEN 1 ELSE 0 END AS finish FROM r"""
 )
 def time_intent_range(spark, sf_dir):
-    now = F.lit(NOW).cast("timestamp")
-    a, _ = S.time_range(F.lit("today"), now)
-    b, c = S.time_range(F.lit("last_month"), now)
-    return table(spark, sf_dir, "region").select("r_name", a.alias("today_from"), b.alias("month_from"), c.alias("month_to"))
+    """All seven intents, seen from each order's day."""
+    intents = ["today", "yesterday", "this_month", "last_month", "this_year", "last_year", "recently"]
+    intent = F.element_at(F.array(*[F.lit(i) for i in intents]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    a, b = S.time_range(intent, F.col("o_orderdate").cast("timestamp") + F.expr("INTERVAL 3 HOURS"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", a.alias("start"), b.alias("finish"))
 
 
 @query(
-    """SELECT n_name, CASE WHEN n_regionkey = 0 THEN DATE '2024-06-01' ELSE DATE '2024-12-01' END AS first_day,
-    CASE WHEN n_regionkey = 0 THEN DATE '2024-08-31' ELSE DATE '2025-02-28' END AS last_day FROM nation"""
+    """WITH o AS (SELECT o_orderkey, year(o_orderdate) AS y, (CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey % 4 + 2) % 4 ELSE o_orderkey % 4 END) * 3 + 3 AS m FROM orders)
+    SELECT o_orderkey, make_date(y, m, 1) AS first_day, (make_date(y, m, 1) + INTERVAL 3 MONTH - INTERVAL 1 DAY)::DATE AS last_day FROM o"""
 )
 def season_range(spark, sf_dir):
-    a, b = S.season_range(F.lit("winter"), F.lit(2024), F.col("n_regionkey") == 0)
-    return table(spark, sf_dir, "nation").select("n_name", a.alias("first_day"), b.alias("last_day"))
+    """All seasons in both hemispheres, in the year of each order."""
+    k = F.col("o_orderkey")
+    season = F.element_at(F.array(*[F.lit(x) for x in ("spring", "summer", "autumn", "winter")]), (k % 4 + 1).cast("int"))
+    a, b = S.season_range(season, F.year("o_orderdate"), k % 2 == 1)
+    return table(spark, sf_dir, "orders").select("o_orderkey", a.alias("first_day"), b.alias("last_day"))
 
 
 @query("SELECT o_orderkey, round(o_totalprice, 2)::DECIMAL(18,2)::VARCHAR AS plain FROM orders")
@@ -191,14 +201,22 @@ def sanitize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.sanitize(F.col("text")).alias("clean"))
 
 
-@query("SELECT lang, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END AS block, count(*) AS n FROM documents GROUP BY ALL")
+@query(
+    """SELECT lang, CASE doc_id % 9 WHEN 0 THEN 'ko' WHEN 1 THEN 'ja' WHEN 2 THEN 'zh' WHEN 3 THEN 'ru' WHEN 4 THEN 'ar' WHEN 5 THEN 'hi' WHEN 6 THEN 'th' WHEN 7 THEN CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'latin' ELSE 'unknown' END ELSE 'unknown' END AS block, count(*) AS n FROM documents GROUP BY ALL"""
+)
 def lang_block(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", S.language_block(F.col("text")).alias("block")).agg(F.count("*").alias("n"))
+    """The script of texts: each block in front of a text in another, as the priority goes, and digits alone."""
+    marks = ["상품 ", "かな ", "漢字 ", "текст ", "نص ", "पाठ ", "ข้อความ ", ""]
+    k = F.col("doc_id") % 9
+    text = F.when(k == 8, "12 34")
+    for i, mark in enumerate(marks):
+        text = text.when(k == i, F.concat(F.lit(mark), "text"))
+    return table(spark, sf_dir, "documents").groupBy("lang", S.language_block(text).alias("block")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_payload_extract(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", F.element_at(records.parsed(F.col("props")), F.lit("k")).try_cast("long").alias("k"))
 
 
 @query("SELECT p_partkey, 'name is ' || p_name || '. brand is ' || p_brand || '. size is ' || p_size || '.' AS sentence FROM part")
@@ -281,14 +299,6 @@ def html_titles(spark, sf_dir):
     return markup.title_candidates(markup.html_lines(table(spark, sf_dir, "pages")))
 
 
-@query("SELECT r_name AS header FROM (SELECT 'Price > Net' AS r_name UNION ALL SELECT 'Price > Tax' UNION ALL SELECT 'Name')")
-def header_concat(spark, sf_dir):
-    cells = spark.createDataFrame([(0, 0, 2, "Price"), (0, 2, 1, "Name"), (1, 0, 1, "Net"), (1, 1, 1, "Tax")], "row int, col int, colspan int, text string")
-    wide = cells.select("row", F.explode(F.sequence(F.col("col"), F.col("col") + F.col("colspan") - 1)).alias("at"), "text")
-    listed = wide.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("row", "text"))).alias("t"))
-    return listed.select(F.array_join(F.transform("t", lambda x: x["text"]), " > ").alias("header"))
-
-
 # ---- aggregates
 
 
@@ -344,21 +354,12 @@ def occurrence_gaps(spark, sf_dir):
     return metrics.gaps(metrics.lines_of(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query(
-    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events)
-    SELECT user_id, event_type, count(*) AS n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS logs FROM r WHERE rn <= 5 GROUP BY ALL"""
-)
-def log_group_by_href(spark, sf_dir):
-    got = metrics.group_logs(table(spark, sf_dir, "events"), ["user_id", "event_type"], F.col("event_id"), F.col("event_id").cast("string"), 5)
-    return got.withColumn("logs", F.array_join("logs", ","))
-
-
 @query(
     """WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
     SELECT user_id, event_type, rn // 300 AS part, n, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS logs FROM r GROUP BY ALL"""
 )
-def log_group_by_href_whole(spark, sf_dir):
-    """log_group_by_href without a cap: all logs of a key, in parts of 300, with the key's count over all rows."""
+def log_group_by_href(spark, sf_dir):
+    """All logs of a key, in parts of 300, with the key's count over all rows."""
     got = metrics.group_all_logs(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", F.col("event_id").cast("string"))
     return got.withColumn("logs", F.array_join("logs", ","))
 
@@ -385,11 +386,18 @@ def upsert_latest_wins(spark, sf_dir):
     return store.upsert(c.withColumn("at", F.lit(0)), edits, "c_custkey", [F.desc("at")], guard="at").drop("at")
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE 5.0 END AS c_acctbal, c_mktsegment FROM customer")
+@query(
+    """WITH o AS (SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey % 5 <> 0), n AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 0.0 ELSE 5.0 END AS c_acctbal, CASE WHEN c_custkey % 3 = 0 THEN 'NEW' ELSE '' END AS c_mktsegment FROM customer WHERE c_custkey % 7 <> 0)
+    SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(nullif(n.c_acctbal, 0), o.c_acctbal) AS c_acctbal, coalesce(nullif(n.c_mktsegment, ''), o.c_mktsegment, '-') AS c_mktsegment FROM o FULL JOIN n ON o.c_custkey = n.c_custkey
+    WHERE coalesce(nullif(n.c_acctbal, 0), o.c_acctbal) IS NOT NULL"""
+)
 def merge_records(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    new = c.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, 0.0).otherwise(5.0).alias("c_acctbal"), F.lit("").alias("c_mktsegment"))
-    return store.merge(c.filter("c_acctbal <> 0 or c_custkey % 2 = 1"), new, "c_custkey", ["c_acctbal", "c_mktsegment"]).filter("c_mktsegment <> ''").unionByName(c.filter("c_acctbal = 0 and c_custkey % 2 = 0"))
+    """Stored and new records by key: new values win unless empty or zero, and either side may be missing."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    old = c.filter(k % 5 != 0).select("c_custkey", "c_acctbal", "c_mktsegment")
+    new = c.filter(k % 7 != 0).select("c_custkey", F.when(k % 2 == 0, 0.0).otherwise(5.0).alias("c_acctbal"), F.when(k % 3 == 0, "NEW").otherwise("").alias("c_mktsegment"))
+    got = store.merge(old, new, "c_custkey", ["c_acctbal", "c_mktsegment"])
+    return got.filter("c_acctbal is not null").withColumn("c_mktsegment", F.coalesce("c_mktsegment", F.lit("-")))
 
 
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey % 4 = 0 OR o_orderkey % 4 = 1")
@@ -464,31 +472,23 @@ def relay_draft_anti(spark, sf_dir):
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def relay_exists_semi(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
-    return o.join(li, o.o_orderkey == li.l_orderkey, "left_semi").select("o_orderkey")
+    return relay.present(o, "o_orderkey", li, "l_orderkey").select("o_orderkey")
 
 
 @query(
     """WITH k AS (SELECT DISTINCT 'p' || l_partkey AS v, l_orderkey AS id FROM lineitem),
-    h0 AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey <= 3),
+    h0 AS (SELECT DISTINCT id FROM (SELECT l_orderkey AS id FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey LIMIT 20)),
     h1 AS (SELECT DISTINCT id FROM k WHERE v IN (SELECT v FROM k WHERE id IN (SELECT id FROM h0)) AND id NOT IN (SELECT id FROM h0)),
     s1 AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1),
     h2 AS (SELECT DISTINCT id FROM k WHERE v IN (SELECT v FROM k WHERE id IN (SELECT id FROM h1)) AND id NOT IN (SELECT id FROM s1))
     SELECT id, 0 AS hop FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2"""
 )
 def cross_reference_2hop(spark, sf_dir):
+    """What the 20 hits of a search, the dearest lines, lead to in two hops."""
     li = table(spark, sf_dir, "lineitem")
     keys = li.select(F.concat(F.lit("p"), "l_partkey").alias("key_value"), F.col("l_orderkey").alias("id"))
-    return relay.cross_reference(keys, li.filter("l_orderkey <= 3").select(F.col("l_orderkey").alias("id")))
-
-
-@query(
-    """WITH d AS (SELECT doc_id AS id, doc_id // 10 AS ref FROM documents), m AS (SELECT id AS me, ref AS my FROM d WHERE id % 100 = 7),
-    b AS (SELECT DISTINCT me, id FROM d JOIN m ON (ref = me OR ref = my) AND id <> me)
-    SELECT me, id, (row_number() OVER (PARTITION BY me ORDER BY id))::INTEGER AS rank FROM b QUALIFY rank <= 10"""
-)
-def related_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("ref"))
-    return relay.related_documents(d, d.filter("id % 100 = 7"))
+    hits = predicate.page(li.select(F.col("l_orderkey").alias("id"), "l_extendedprice"), [F.desc("l_extendedprice"), F.asc("id")], 20)
+    return relay.cross_reference(keys, hits)
 
 
 @query(
@@ -497,8 +497,8 @@ def related_documents(spark, sf_dir):
     b AS (SELECT DISTINCT k.doc_id AS me, t.doc_id AS id FROM k JOIN t ON k.source = t.source AND k.doc_id <> t.doc_id)
     SELECT me, id, (row_number() OVER (PARTITION BY me ORDER BY id))::INTEGER AS rank FROM b QUALIFY rank <= 10"""
 )
-def related_documents_whole(spark, sf_dir):
-    """related_documents for every document, by its source."""
+def related_documents(spark, sf_dir):
+    """The first ten others of the same source, for every document."""
     return relay.related_to_all(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("ref")))
 
 
@@ -576,17 +576,6 @@ def top10_mean(spark, sf_dir):
     return vectors.top_mean(scores(spark, sf_dir), ["label"], "score", "vec_id").select("label", rounded("top_mean", 5))
 
 
-@query(
-    """WITH e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
-    w AS (SELECT label, v, lead(v, 1) OVER p AS v1, lead(v, 2) OVER p AS v2, lead(v, 3) OVER p AS v3 FROM e WINDOW p AS (PARTITION BY label ORDER BY vec_id)),
-    f AS (SELECT label, 1 AS stride, list_cosine_similarity(v, v1) AS s FROM w WHERE v1 IS NOT NULL UNION ALL
-          SELECT label, 2, list_cosine_similarity(v, v2) FROM w WHERE v2 IS NOT NULL UNION ALL SELECT label, 3, list_cosine_similarity(v, v3) FROM w WHERE v3 IS NOT NULL)
-    SELECT label, stride, round(avg(s), 5) AS similarity FROM f GROUP BY ALL"""
-)
-def lagged_self_similarity(spark, sf_dir):
-    return vectors.self_similarity(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", range(1, 4)).select("label", "stride", rounded("similarity", 5))
-
-
 @query(
     """WITH d AS (SELECT * FROM documents WHERE lang = 'en'),
     a AS (SELECT doc_id AS id, 3.0 AS score FROM d ORDER BY doc_id LIMIT 25),
@@ -610,8 +599,8 @@ LAGS = 40
     SELECT a.label, k.stride::INTEGER AS stride, round(avg(list_cosine_similarity(a.v, b.v)), 5) AS similarity
     FROM r a JOIN (SELECT unnest(range(2, {LAGS + 1})) AS stride) k ON a.n >= 20 AND k.stride <= a.n // 3 JOIN r b ON b.label = a.label AND b.rn = a.rn + k.stride GROUP BY ALL"""
 )
-def lagged_self_similarity_whole(spark, sf_dir):
-    """lagged_self_similarity with all strides of the operator, 2 to 40 or a third of the label's rows; labels of under 20 rows have none."""
+def lagged_self_similarity(spark, sf_dir):
+    """Strides 2 to 40 or a third of the label's rows; labels of under 20 rows have none."""
     rows = table(spark, sf_dir, "embeddings")
     bound = rows.groupBy(F.col("label").alias("_of")).agg(F.when(F.count("*") >= 20, F.floor(F.count("*") / 3)).alias("_most"))
     got = vectors.self_similarity(rows, "label", "vec_id", "embedding", range(2, LAGS + 1))
