@@ -599,3 +599,19 @@ def test_pipeline(spark, docs):
     ids = {r["doc_id"] for r in now.collect()}
     assert 4 not in ids and 2 not in ids and {1, 7, 9} <= ids
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op1_perspective_rotation", "op4_suffix_automata", "op6_run_length_bwt"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from tradeloom.llm import queries
+
+    db = duckdb.connect()
+    for file in os.listdir(SF):
+        db.sql(f"create view {file[:-8]} as select * from '{SF}/{file}'")
+    want = db.sql(queries.SQL[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall())
+    assert set(queries.SQL) == {"op1_perspective_rotation", "op4_suffix_automata", "op6_run_length_bwt"}
