@@ -176,7 +176,7 @@ def answers_gated(spark, sf_dir):
 
 
 @query(
-    f"""WITH o AS (SELECT doc, line % 3 AS grp, own AS status, prej AS rival FROM ({CELLS}) WHERE field = 0), g AS (SELECT doc, grp, round(avg(status) - avg(rival) + 0.5 * (max(abs(grp)) * 0.01 - 0.01), 6) AS contrast FROM o GROUP BY ALL),
+    f"""WITH o AS (SELECT doc, line % 3 AS grp, own AS status, prej AS rival FROM ({CELLS}) WHERE field = 0), g AS (SELECT doc, grp, avg(status) - avg(rival) + 0.5 * (max(abs(grp)) * 0.01 - 0.01) AS contrast FROM o GROUP BY ALL),
     r AS (SELECT *, row_number() OVER w AS rn, lead(contrast) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY doc ORDER BY contrast DESC, grp))
     SELECT doc, grp, round(contrast, 5) AS contrast FROM r WHERE rn = 1 AND contrast > 0.02 AND coalesce(contrast - nxt, contrast) > 0.02"""
 )
