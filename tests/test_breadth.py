@@ -11,10 +11,11 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tradeloom.functions import markup, payloads, shapes
+from tradeloom.functions import markup, payloads, scalars, shapes
 from tradeloom.operators import classify, records, relay, search, spans
 from tradeloom.plans import catalogue, classified
 from tradeloom.schema import ENTITY
+from tradeloom.sources import files
 from tradeloom.streaming import tasks
 
 SF = "/root/testdata/sf0.001"
@@ -320,3 +321,40 @@ def test_similarity_bank_has_a_bound(spark):
     assert classify.similarities(lines, "v", bank).count() == 3
     with pytest.raises(ValueError):
         classify.similarities(lines, "v", bank, most=2)
+
+
+def test_languages_and_zones(spark):
+    df = spark.createDataFrame([("상품 abc",), ("le produit",), ("12 34",), ("хлеб",)], "t string")
+    detect = lambda t: F.when(t.contains("le "), "fr")
+    assert [r[0] for r in df.select(scalars.language(F.col("t"), detect)).collect()] == ["ko", "fr", "en", "ru"]
+    zones = spark.createDataFrame([("FA",), ("pt",), ("sw",), ("xx",), (None,)], "l string")
+    assert [tuple(r) for r in zones.select(shapes.utc_offset(F.col("l")), shapes.is_southern(F.col("l"))).collect()] == [(210, False), (-180, True), (180, True), (540, False), (540, None)]
+    keys = spark.range(1).select(*scalars.scope_keys(F.lit("t"), F.lit("k"), F.lit("ab"), F.lit("/x"), F.lit(True)), *scalars.scope_keys(F.lit("t"), F.lit("k"), F.lit("AB"), F.lit("/x"))).first()
+    assert keys[0] == keys[2] and keys[1] != keys[3]
+
+
+def test_whole_blocks_of_a_page():
+    page = ["h1 | Title", "table", "  tr", "    td | " + "x" * 40, "p | after"]
+    assert markup.truncate_whole(page, 100) == page
+    assert markup.truncate_whole(page, 8) == page[:1]
+    assert markup.truncate_whole(page[1:], 3) == page[1:3]
+    assert markup.truncate_whole(["ul", "  b | " + "y" * 40, "p"], 2) == ["ul"] and markup.truncate_whole([], 5) == []
+
+
+def test_binary_documents_and_images(spark, tmp_path):
+    assert files.printable("견적서 No 12".encode("utf-16-le") + b"\0\0\1\2Total 55\0").split("\n")[0] == "견적서 No 12"
+    (tmp_path / "a.hwp").write_bytes(b"\0\1Invoice 77\0")
+    (tmp_path / "b.doc").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in files.read_files(spark, str(tmp_path)).collect()}
+    assert "Invoice 77" in got["a.hwp"] and got["b.doc"] == ""
+
+    def vision(content):
+        if not content:
+            raise ValueError
+        return [{"no": content.decode(), "items": [{"d": 1}]}, {"no": "", "items": [{"d": 1}, {"d": 2}]}]
+
+    (tmp_path / "img").mkdir()
+    (tmp_path / "img/x.png").write_bytes(b"n1")
+    (tmp_path / "img/y.png").write_bytes(b"")
+    data = {r["path"][-5:]: r["data"] for r in files.read_images(spark, str(tmp_path / "img"), vision, {"items": "d"}).collect()}
+    assert data == {"x.png": '{"items": [{"d": 1}, {"d": 2}], "no": "n1"}', "y.png": None}

@@ -243,6 +243,32 @@ def truncate_lines(lines: list[str], budget: int) -> list[str]:
     return out
 
 
+# Elements that are not cut in two, if they hold one of these.
+WHOLE = ("form", "table", "ul", "ol", "dl", "fieldset")
+MEANINGFUL = ("input", "button", "textarea", "th", "td", "li", "dt", "dd", "a", "img", "label")
+
+
+def truncate_whole(lines: list[str], budget: int, tokens=lambda line: max(1, len(line) // 4)) -> list[str]:
+    """truncate_lines() that cuts no form, table or list in two: one that does not fit is left out with all that follows it.
+
+    A page that begins with one that is over the budget by itself is cut in it all the same.
+    """
+    indents = [len(line) - len(line.lstrip()) for line in lines]
+    tags = [re.split(r"[\[ (|]", line.strip(), maxsplit=1)[0].lower() for line in lines]
+    out, used, i = [], 0, 0
+    while i < len(lines):
+        end = block_end(indents, i) if tags[i] in WHOLE else i
+        if end > i and not any(t in MEANINGFUL for t in tags[i + 1 : end + 1]):
+            end = i
+        need = sum(tokens(line) for line in lines[i : end + 1])
+        if used + need > budget:
+            return out or truncate_lines(lines, budget)
+        out += lines[i : end + 1]
+        used += need
+        i = end + 1
+    return out
+
+
 def subsequence_at(block: list[str], lines: list[str]) -> int:
     """Where the block's lines occur in the page in order, gaps allowed; -1 if they don't."""
     for start in range(len(lines)):

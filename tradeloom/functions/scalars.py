@@ -13,8 +13,24 @@ from ..schema import STATUS
 TWO_PART_SUFFIXES = ("co.kr", "or.kr", "go.kr", "ne.kr", "co.jp", "or.jp", "ne.jp", "co.uk", "org.uk", "com.cn", "com.au")
 # Letters that are read as digits.
 HOMOGLYPHS = {"O": "0", "o": "0", "I": "1", "l": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2"}
-# Hours from UTC, in minutes, and hemisphere of each language; the default is the first.
-ZONES = {"ko": 540, "ja": 540, "zh": 480, "en": 0, "de": 60, "fr": 60, "es": 60, "ru": 180, "hi": 330}
+# Languages by the minutes from UTC of where they are mostly spoken (the default is 540), and those whose seasons are the southern ones.
+ZONE_LANGUAGES = {
+    60: ("sq", "ca", "hr", "cs", "da", "nl", "fr", "de", "hu", "it", "no", "pl", "sr", "sk", "sl", "es", "sv"),
+    120: ("bg", "et", "fi", "el", "he", "lv", "lt", "ro", "uk"),
+    180: ("ar", "tr", "ru", "sw"),
+    210: ("fa",),
+    240: ("az", "ka"),
+    300: ("kk", "ur", "uz"),
+    330: ("hi", "mr", "te"),
+    360: ("bn",),
+    420: ("id", "km", "th", "vi"),
+    480: ("zh", "ms", "tl"),
+    540: ("ja", "ko"),
+    -180: ("pt",),
+    0: ("is", "en"),
+}
+SOUTHERN_LANGUAGES = ("sw", "pt")
+ZONES = {lang: minutes for minutes, langs in ZONE_LANGUAGES.items() for lang in langs}
 CURRENCIES = {"ko": "KRW", "ja": "JPY", "zh": "CNY", "en": "USD", "de": "EUR", "fr": "EUR", "es": "EUR"}
 
 
@@ -47,8 +63,10 @@ def digest(text: Column) -> Column:
     return hash_id(F.lower(F.regexp_replace(digits_for_letters(text), r"[\p{P}\p{S}\p{Z}]", "")))
 
 
-def scope_keys(team: Column, kind: Column, cc: Column, link: Column) -> tuple[Column, Column]:
-    return hash_id(F.concat(kind, cc)), hash_id(F.concat(team, cc, link))
+def scope_keys(team: Column, kind: Column, cc: Column, link: Column, detail: Column | None = None) -> tuple[Column, Column]:
+    """The keys of a section and of a link; the section of detail pages has its site in upper case."""
+    site = cc if detail is None else F.when(detail, F.upper(cc)).otherwise(cc)
+    return hash_id(F.concat(kind, site)), hash_id(F.concat(team, cc, link))
 
 
 # URLs
@@ -218,6 +236,12 @@ def language_block(text: Column) -> Column:
     )
 
 
+def language(text: Column, detect) -> Column:
+    """The language of a text by its script; where that is Latin, detect(text column) says which."""
+    block = language_block(text)
+    return F.when(block == "latin", F.coalesce(detect(text), F.lit("en"))).when(block == "unknown", F.lit("en")).otherwise(block)
+
+
 def tracking_numbers(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w.rlike("^[0-9-]+$") & (F.length(F.regexp_replace(w, "[^0-9]", "")) >= 6))
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scalars import ZONES
+from .scalars import SOUTHERN_LANGUAGES, ZONES
 
 # Tags that a value may carry in front, tags that hold labels, and tags that hold no value.
 MARKUP_TAGS = (
@@ -32,8 +32,6 @@ DOCUMENT_NAMES = {
     "LC": "Letter of Credit",
     "tracking": "Shipping Label / Tracking Info",
 }
-SOUTHERN = ("au", "nz", "br", "ar", "za", "cl")
-
 
 def _named(values: dict, key: Column, default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), default)
@@ -202,8 +200,9 @@ def utc_offset(lang: Column) -> Column:
     return _named(ZONES, F.lower(lang), F.lit(540))
 
 
-def is_southern(country: Column) -> Column:
-    return F.lower(country).isin(*SOUTHERN)
+def is_southern(lang: Column) -> Column:
+    """Whether the seasons of a language are the southern ones."""
+    return F.lower(lang).isin(*SOUTHERN_LANGUAGES)
 
 
 def midnight_before(stamp: Column, days: Column) -> Column:

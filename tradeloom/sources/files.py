@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import re
 import zipfile
 from xml.etree import ElementTree
@@ -11,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import payloads
+
 
 def grid_to_rows(grid: list[list[str | None]]) -> list[str]:
     """`header:value` rows of a sheet with merged and stacked headers.
@@ -84,12 +87,22 @@ def file_text(path: str, data: bytes) -> str:
         return zipped_text(data, r"^word/document\.xml$")
     if kind == "hwpx":
         return zipped_text(data, r"Contents/section0\.xml$")
+    if kind in ("hwp", "doc", "docs", "xls", "xlsb"):
+        return zipped_text(data, r"(word/document|Contents/section0)\.xml$") if data[:2] == b"PK" and kind != "xlsb" else printable(data)
     text = decode(data)
     if kind == "csv":
         return "\n".join(grid_to_rows(pd.read_csv(io.StringIO(text), header=None, dtype=str, keep_default_na=False).values.tolist()))
     return text
 
 
+def printable(data: bytes, least: int = 4) -> str:
+    """The runs of letters in a binary document, one a line: as UTF-16 and as ASCII, each text once."""
+    wide = re.findall(r"[\w\s.,:;()/%%-]{%d,}" % least, data.decode("utf-16-le", "ignore"))
+    plain = [m.decode() for m in re.findall(rb"[\x20-\x7e]{%d,}" % least, data)]
+    known = [" ".join(t.split()) for t in [*(w for w in wide if re.search(r"[A-Za-z0-9\uac00-\ud7a3]", w)), *plain]]
+    return "\n".join(dict.fromkeys(t for t in known if len(t) >= least))
+
+
 def decode(data: bytes) -> str:
     """UTF-8, or else EUC-KR."""
     try:
@@ -115,6 +128,27 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", text_of("path", "content").alias("text"))
 
 
+def read_images(spark: SparkSession, path: str, vision, keys: dict[str, str]) -> DataFrame:
+    """(path, data): what vision(image bytes) reads in the bands of every image, merged into one JSON payload.
+
+    vision gives a list of payloads, one a band, and is any callable that can be sent to the workers; keys names the key of each
+    list of records (see payloads.merged_bands). An image that it can't read has null.
+    """
+
+    @F.pandas_udf("string")
+    def read(contents: pd.Series) -> pd.Series:
+        def one(content):
+            try:
+                return json.dumps(payloads.merged_bands(vision(content), keys), sort_keys=True, ensure_ascii=False)
+            except Exception:  # noqa: BLE001  an image of any kind of damage
+                return None
+
+        return contents.map(one)
+
+    images = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return images.select("path", read("content").alias("data"))
+
+
 def as_markup(text):
     """Each line of a text as a div, so that it takes the way of a page."""
     safe = F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
