@@ -344,17 +344,17 @@ def test_whole_blocks_of_a_page():
 def test_binary_documents_and_images(spark, tmp_path):
     assert files.printable("견적서 No 12".encode("utf-16-le") + b"\0\0\1\2Total 55\0").split("\n")[0] == "견적서 No 12"
     (tmp_path / "a.hwp").write_bytes(b"\0\1Invoice 77\0")
-    (tmp_path / "b.doc").write_bytes(b"")
+    (tmp_path / "b.doc").write_bytes(b"\0")
     got = {r["path"].rsplit("/", 1)[-1]: r["text"] for r in files.read_files(spark, str(tmp_path)).collect()}
     assert "Invoice 77" in got["a.hwp"] and got["b.doc"] == ""
 
     def vision(content):
-        if not content:
+        if content[:1] == b"\0":
             raise ValueError
         return [{"no": content.decode(), "items": [{"d": 1}]}, {"no": "", "items": [{"d": 1}, {"d": 2}]}]
 
     (tmp_path / "img").mkdir()
     (tmp_path / "img/x.png").write_bytes(b"n1")
-    (tmp_path / "img/y.png").write_bytes(b"")
+    (tmp_path / "img/y.png").write_bytes(b"\0")
     data = {r["path"][-5:]: r["data"] for r in files.read_images(spark, str(tmp_path / "img"), vision, {"items": "d"}).collect()}
     assert data == {"x.png": '{"items": [{"d": 1}, {"d": 2}], "no": "n1"}', "y.png": None}
