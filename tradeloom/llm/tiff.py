@@ -315,7 +315,8 @@ def tiff_pages(media: DataFrame, key="doc_id", content="content") -> DataFrame:
 
 UNIT = 192  # bytes of a pixel row: 64 pixels of 3 samples
 PAGE_ROWS = 512
-FORMS = ((DEFLATE, 2, 0), (PACKBITS, 1, 0), (LZW, 1, 0), (DEFLATE, 2, 16), (DEFLATE, 1, 0), (PACKBITS, 2, 0), (NONE, 1, 0), (DEFLATE, 1, 16))
+#: Compression, predictor (only with LZW and deflate, as other readers take it), tile size.
+FORMS = ((DEFLATE, 2, 0), (PACKBITS, 1, 0), (LZW, 1, 0), (DEFLATE, 2, 16), (DEFLATE, 1, 0), (PACKBITS, 1, 16), (NONE, 1, 0), (DEFLATE, 1, 16))
 
 
 def pad(text: str | None) -> tuple[int, bytes]:
