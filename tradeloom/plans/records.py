@@ -207,9 +207,14 @@ def json_repair_counts(spark, sf_dir):
 @query("SELECT c_custkey::VARCHAR AS id, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'second' END AS text FROM customer UNION ALL SELECT 't' || s_suppkey, 'new' FROM supplier")
 def stored_tables(spark, sf_dir):
     """A store written, changed and read again: rows added, a key updated, another version."""
+    import tempfile
     import uuid
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tradeloom-store"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tradeloom-")
     tables = records.Store(spark, f"{folder}/{uuid.uuid4().hex}")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("text"), (F.col("c_custkey") % 2).alias("odd"))
     tables.write({"items": records.documents(c)})
