@@ -31,9 +31,10 @@ from .common import blobs, chunks, cut, key_of, parts, trim
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-FLUSH_ANCHORS = 1_000_000
-FLUSH_BYTES = 24_000_000
-OFTEN = 4  # equal passages in a chunk of 2 million characters that may be among the most frequent ones
+CHUNK = 600_000  # characters that a task works on at once, at some 100 bytes each
+FLUSH_ANCHORS = 500_000
+FLUSH_BYTES = 12_000_000
+OFTEN = 3  # equal passages in a chunk that may be among the most frequent ones
 HOT_PASSAGES = 1000
 HOT_BYTES = 2000
 NOWHERE = 2**63 - 1
@@ -311,7 +312,7 @@ def _find(kind, length, k, buckets, homes):
             bounds = _groups(bucket)
             yield _record(ANCHOR, {"bucket": pa.array(bucket[bounds[:-1]]), "at": blobs(pos, bounds), "h": blobs(h, bounds), "did": blobs(_steps(did, bounds), bounds)}, len(bounds) - 1)
 
-        for ids, texts in chunks(batches, ["doc_id", "text"]):
+        for ids, texts in chunks(batches, ["doc_id", "text"], CHUNK):
             s = kind(texts)
             p, h, j0, j1 = anchor_runs(s.codes, s.doc, length, k)
             of = s.doc[p]
@@ -427,7 +428,7 @@ def _passages(kind, length, k, buckets, homes, across, hot):
             done[order[_groups(of[order])[:-1]]] = False
             return facts[~done], of[~done], bucket[~done], told
 
-        for ids, tags, at, texts in chunks(batches, ["doc_id", "tag", "at", "text"]):
+        for ids, tags, at, texts in chunks(batches, ["doc_id", "tag", "at", "text"], CHUNK):
             s = kind(texts)
             p, h, j0, j1 = anchor_runs(s.codes, s.doc, length, k)
             of = s.doc[p].astype(np.int64)
