@@ -1,3 +1,4 @@
+import duckdb
 from pyspark.sql import functions as F
 
 from tradeloom.operators import metrics, relay, spans
@@ -32,3 +33,19 @@ def test_spans_of_two_to_eight_words(spark):
     df = spark.createDataFrame(rows, "item_id long, start int, size int, score double")
     want = {(s, n): max([x for _, a, m, x in rows if s < a < s + n < a + m], default=0.0) * 0.1 for _, s, n, _ in rows}
     assert {(r["start"], r["size"]): r["bonus"] for r in spans.overlap_bonus(df, "item_id").collect()} == want
+
+
+def as_sql(spark, folder, name, **tables):
+    """The rows of a query and of its SQL over these tables."""
+    con = duckdb.connect()
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    got, want = catalogue.QUERIES[name](spark, str(folder)), con.sql(catalogue.SQL[name]).df()
+    return sorted(map(tuple, got.collect())), sorted(map(tuple, want[got.columns].astype(object).to_numpy()))
+
+
+def test_links_numbered_as_pages_are_not_those_pages(spark, tmp_path):
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.b/p"), F.col("id") % 3, F.lit("/x")).alias("url"))
+    got, want = as_sql(spark, tmp_path, "cached_pages", pages=pages)
+    assert got == want and len(got) == 6000

@@ -172,7 +172,8 @@ def cached_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     head = F.concat(F.lit("/"), F.substring_index(F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "//[^/]*/(.*)$", 1), "/", 1))
     known = pages.select(F.col("page_id").alias("id"), head.alias("path"))
-    return records.cached_page(pages.select((F.col("page_id") + 5000).alias("id"), "url"), "id", "url", known).select("id", "page")
+    links = pages.select(F.concat(F.lit("link "), "page_id").alias("key"), (F.col("page_id") + 5000).alias("id"), "url")  # no page has such a key
+    return records.cached_page(links, "key", "url", known).select("id", "page")
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE NOT (c_custkey % 2 = 0 AND c_custkey IN (SELECT s_suppkey FROM supplier))")
