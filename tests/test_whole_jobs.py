@@ -1,6 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tradeloom.functions import scalars as S
 from tradeloom.operators import metrics, relay, spans
 from tradeloom.plans import catalogue
 
@@ -49,3 +50,13 @@ def test_links_numbered_as_pages_are_not_those_pages(spark, tmp_path):
     pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://a.b/p"), F.col("id") % 3, F.lit("/x")).alias("url"))
     got, want = as_sql(spark, tmp_path, "cached_pages", pages=pages)
     assert got == want and len(got) == 6000
+
+
+def test_goods_of_one_index_keep_their_events(spark, tmp_path):
+    a, b = 49577, 100372  # with equal indexes
+    both = spark.createDataFrame([(a,), (b,)], "no long").select(S.entity_index(F.lit("goods"), F.lit("team"), F.col("no").cast("string")))
+    assert both.distinct().count() == 1
+    parts = spark.createDataFrame([(a,), (b,), (7,)], "p_partkey long")
+    lines = spark.createDataFrame([(1, a, 1), (1, b, 2), (2, b, 1), (2, 7, 1), (2, 7, 3)], "l_orderkey long, l_partkey long, l_linenumber int")
+    got, want = as_sql(spark, tmp_path, "order_shipments", part=parts, lineitem=lines)
+    assert got == want and len(got) == 4

@@ -279,7 +279,7 @@ def shipments_of_orders(orders: DataFrame, goods: str, team: str, stored_goods:
 
     orders: index, tracking_number and an array of structs `goods` with no (and any other columns). A shipment's no is the tracking number and
     the goods' number; its index and id follow from that as for any record. With stored_goods (index, event) it gets the
-    goods' event. Entries of one order with equal numbers are one shipment, the first. Orders without a number have none.
+    goods' event; an index has 32 bits, which different goods can share, so with a column `no` the number has to be the same too. Entries of one order with equal numbers are one shipment, the first. Orders without a number have none.
     """
     rows = orders.filter(_has("tracking_number")).select(F.col("index").alias("order"), "tracking_number", F.posexplode(goods).alias("place", "entry"))
     rows = rows.withColumn("goods", scalars.entity_index(F.lit("goods"), F.lit(team), F.col("entry.no").cast("string")))
@@ -288,6 +288,11 @@ def shipments_of_orders(orders: DataFrame, goods: str, team: str, stored_goods:
     index = scalars.entity_index(F.lit("tracking"), F.lit(team), F.col("no"))
     made = rows.withColumn("index", index).withColumn("id", scalars.entity_id(F.lit(team), F.col("index"))).withColumn("type", F.lit("tracking"))
     if stored_goods is not None:
-        event = stored_goods.groupBy(F.col("index").alias("goods")).agg(F.max("event").alias("event"))
-        made = made.join(event, "goods", "left")
+        keys = ["goods"]
+        stored = stored_goods.withColumnRenamed("index", "goods")
+        if "no" in stored.columns:
+            keys.append("_no")
+            stored = stored.withColumn("_no", scalars.clean_no(F.col("no").cast("string")))
+            made = made.withColumn("_no", scalars.clean_no(F.col("entry.no").cast("string")))
+        made = made.join(stored.groupBy(*keys).agg(F.max("event").alias("event")), keys, "left").drop("_no")
     return made

@@ -171,7 +171,8 @@ def order_shipments(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     goods = li.groupBy(F.col("l_orderkey").alias("index")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("no")))).alias("goods"))
     orders = goods.withColumn("tracking_number", F.concat(F.lit("77-"), F.col("index")))
-    stored = table(spark, sf_dir, "part").select(S.entity_index(F.lit("goods"), F.lit("team"), F.col("p_partkey").cast("string")).alias("index"), (F.col("p_partkey") % 4).alias("event"))
+    no = F.col("p_partkey").cast("string")
+    stored = table(spark, sf_dir, "part").select(S.entity_index(F.lit("goods"), F.lit("team"), no).alias("index"), no.alias("no"), (F.col("p_partkey") % 4).alias("event"))
     return relay.shipments_of_orders(orders, "goods", "team", stored).select("order", "no", "event")
 
 
