@@ -1,6 +1,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tradeloom.functions import markup
 from tradeloom.functions import scalars as S
 from tradeloom.operators import metrics, relay, spans
 from tradeloom.plans import catalogue
@@ -60,3 +61,21 @@ def test_goods_of_one_index_keep_their_events(spark, tmp_path):
     lines = spark.createDataFrame([(1, a, 1), (1, b, 2), (2, b, 1), (2, 7, 1), (2, 7, 3)], "l_orderkey long, l_partkey long, l_linenumber int")
     got, want = as_sql(spark, tmp_path, "order_shipments", part=parts, lineitem=lines)
     assert got == want and len(got) == 4
+
+
+def test_indents_of_many_documents_stream(spark):
+    rows = [(d if d else None, 2 * i, (d * 7 + i * i) % 5) for d in range(40) for i in range(d % 9)] + [(99, i, i // 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc long, pos long, indent int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        tree = markup.indent_tree(df, "doc")
+        got = {(r["doc"], r["pos"]): (r["parent"], r["stop"]) for r in tree.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for d, p, x in rows:
+        own = [(q, y) for e, q, y in rows if e == d]
+        end = min([q for q, y in own if q > p and y <= x], default=None)
+        want[d, p] = max([q for q, y in own if q < p and y < x], default=-1), max(q for q, _ in own if end is None or q < end)
+    assert got == want
+    assert "FlatMapGroups" not in tree._jdf.queryExecution().toString()  # a call for each document takes hours
