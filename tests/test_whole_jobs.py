@@ -79,3 +79,21 @@ def test_indents_of_many_documents_stream(spark):
         want[d, p] = max([q for q, y in own if q < p and y < x], default=-1), max(q for q, _ in own if end is None or q < end)
     assert got == want
     assert "FlatMapGroups" not in tree._jdf.queryExecution().toString()  # a call for each document takes hours
+
+
+def test_words_are_found_without_lambdas(spark, tmp_path):
+    texts = ["The LICENSE", "license", "lic ens the", "t h e", "", None, "licens ense"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = as_sql(spark, tmp_path, "full_text_words", documents=docs)
+    assert got == want == [(0, 2), (1, 1), (2, 1)]
+    plan = catalogue.QUERIES["full_text_words"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan  # in a new session Spark moved the condition to where the texts are not
+
+
+def test_grams_of_odd_texts(spark):
+    texts = ["", None, "a", "ab", "abc", "A\U0001f600b\u00e9\n\r x", "\U0001f600\U0001f600", "\U0001f600\U0001f600\U0001f600a"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i")
+    for n in (1, 2, 3):
+        got = [r[0] for r in df.select(S.letter_grams(F.col("x"), n)).collect()]
+        low = [None if x is None else x.lower() for x in texts]
+        assert got == [[x] if x is None or len(x) < n else [x[i : i + n] for i in range(len(x) - n + 1)] for x in low]

@@ -372,14 +372,10 @@ def first_present(payload: Column, keys: list[str]) -> Column:
 
 
 def letter_grams(text: Column, size: int = 3) -> Column:
-    """All runs of `size` letters in lower case, the whole text if it is shorter. Letters are split off once: substring()
-    would count from the start of the text for every gram."""
-
-    def grams(letters):
-        starts = F.sequence(F.lit(0), F.greatest(F.size(letters) - size, F.lit(0)))
-        return F.transform(starts, lambda i: F.array_join(F.slice(letters, i + 1, F.lit(size)), ""))
-
-    return F.transform(F.array(F.split(F.lower(text), "")), grams)[0]
+    """All runs of `size` letters in lower case, the whole text if it is shorter. One pass of a pattern gives them: substring()
+    would count from the start of the text for every gram, and lambdas over an array of letters are not compiled."""
+    low = F.lower(text)
+    return F.when(low.isNull() | (F.char_length(low) < size), F.array(low)).otherwise(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{size}}}))."), F.lit(1)))
 
 
 def sentence(pairs: list[tuple[str, Column]]) -> Column:
