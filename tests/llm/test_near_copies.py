@@ -95,3 +95,11 @@ def test_a_large_group_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     kept = {r["doc_id"] for r in near_copies.first_of_each(docs).select("doc_id").collect()}
     assert kept == {0, *range(5000, 5020)}
+
+
+def test_probes_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(simhash, "cut", lambda df: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or df)
+    links = simhash.near_links(spark.range(40).select(F.col("id").alias("fp")), 4)
+    assert plans and "BroadcastHashJoin" not in plans[0]  # 66 rows a fingerprint, which the driver would hold
+    assert all((r["a"] ^ r["b"]).bit_count() <= 2 for r in links.collect())
