@@ -103,3 +103,31 @@ def test_probes_are_not_broadcast(spark, monkeypatch):
     links = simhash.near_links(spark.range(40).select(F.col("id").alias("fp")), 4)
     assert plans and "BroadcastHashJoin" not in plans[0]  # 66 rows a fingerprint, which the driver would hold
     assert all((r["a"] ^ r["b"]).bit_count() <= 2 for r in links.collect())
+
+
+def test_fingerprints_give_candidates(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(4000)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join([*words, "more"]), " ".join(reversed(words)), "", " "]
+    known = near_copies.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("doc_id")
+    rows = known.collect()
+    want = {tuple(sorted((x["tag"], y["tag"]))) for x, y in itertools.combinations(rows, 2) if (x["fp"] ^ y["fp"]).bit_count() <= 2 or x["fp"] == y["fp"]}
+    got = {(r["a"], r["b"]) for r in near_copies.fingerprint_pairs(known).collect()}
+    assert len(want) >= 2 and got <= want
+    up = {r["tag"]: r["tag"] for r in rows}
+    for pairs in (got, want):
+        for a, b in pairs:
+            up = {k: up[a] if v == up[b] else v for k, v in up.items()}
+        if pairs is got:
+            classes = len(set(up.values()))
+    assert len(set(up.values())) == classes
+
+
+def test_stage_goes_through_the_multi_index(spark, monkeypatch):
+    import corpus_pipeline
+
+    calls = []
+    monkeypatch.setattr(near_copies, "near_links", lambda fps: calls.append(fps.columns) or simhash.near_links(fps))
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "A b c d e f"), (3, "x")], "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.one_of_each_group(spark, docs, None).collect()) == [1, 3]
+    assert calls == [["fp"]]

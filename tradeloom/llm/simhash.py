@@ -17,6 +17,15 @@ BUCKET = 32  # fingerprints in a bucket up to which its pairs are compared
 FOREST_NODES = 1_000_000  # that a task holds before it hands on what it has joined
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes, unsigned: a bit is 1 if set in over half of them."""
+    n = len(hashes)
+    ones = np.zeros(64, dtype=np.int64)
+    for k in range(0, n, 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+
+
 def simhash(text: str | None, size: int = SHINGLE) -> int:
     """The fingerprint, unsigned: a bit is 1 if set in over half the hashes of the word shingles, repeats included."""
     words = (text or "").encode().lower().split()
@@ -29,10 +38,7 @@ def simhash(text: str | None, size: int = SHINGLE) -> int:
     spans = zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, n)
-    ones = np.zeros(64, dtype=np.int64)
-    for k in range(0, n, 65536):
-        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return of_hashes(hashes)
 
 
 def fingerprints(docs: DataFrame, doc_id="doc_id", text="text", size: int = SHINGLE) -> DataFrame:
